@@ -1,11 +1,11 @@
 """Toxicity: cumulative-link ordinal regression. P(grade <= k) = sigmoid(threshold[k] - w.x) with one weight vector shared
 by all ordered thresholds; the severity is the expected grade.
 
-Features are sparse: which of the vocabulary's words a whole text holds, however long it is. The vocabulary (at most
-`max_features` words) and the weights are fitted on at most `max_rows` labelled documents (documented bounds).
+Features are sparse: which of the vocabulary's words and beginnings of words a whole text holds, however long it is. The vocabulary (at most
+`max_features` entries) and the weights are fitted on at most `max_rows` labelled documents (documented bounds).
 
 Grades: the labels only tell clean (0) from toxic (1), so the grades of toxic training rows are derived from them: a word is
-telling if its document frequency among toxic rows exceeds what clean rows explain by `telling` standard errors; a toxic
+telling if its document frequency, or that of one of its beginnings, among toxic rows exceeds that among clean rows by `telling` standard errors; a toxic
 row with at most one telling word has grade 1, with two or three grade 2, with more grade 3. Clean rows have grade 0.
 
 Defined cases: null and empty texts have no feature and get the severity of the intercept alone; without training rows, or
@@ -29,6 +29,11 @@ def words_of(text: bytes | None) -> set[bytes]:
     return set(text.translate(WORD_BYTES).split()) if text else set()
 
 
+def features_of(words: set[bytes]) -> set[bytes]:
+    """The words themselves and, marked with ^, their beginnings of 3 to 8 bytes."""
+    return words.union(*[{b"^" + w[:n] for w in words if len(w) > n} for n in range(3, 9)])
+
+
 @dataclass
 class Ordinal:
     """vocabulary: word -> column; weights; ascending thresholds, one less than there are grades."""
@@ -42,38 +47,41 @@ class Ordinal:
         import numpy as np
 
         get, w = self.vocabulary.get, self.weights
-        z = np.array([sum(w[j] for x in words_of(t) if (j := get(x)) is not None) for t in texts], dtype=float)
+        z = np.array([sum(w[j] for x in features_of(words_of(t)) if (j := get(x)) is not None) for t in texts], dtype=float)
         if not len(self.thresholds):
             return np.zeros((len(texts), 1))
         return 1 / (1 + np.exp(-np.clip(z[:, None] - np.asarray(self.thresholds)[None, :], -40, 40)))
 
 
-def fit(texts: list[bytes | None], toxic, max_features: int = 4096, telling: float = 4.0, rounds: int = 400, ridge: float = 1e-3) -> Ordinal:
+def fit(texts: list[bytes | None], toxic, max_features: int = 4096, telling: float = 7.0, rounds: int = 800, ridge: float = 1e-4, least_z: float = 6.0, least_share: float = 0.01) -> Ordinal:
     """Select the vocabulary, derive grades and fit by Adam on the penalised likelihood."""
     from collections import Counter
 
     import numpy as np
 
-    toxic = np.asarray(toxic, dtype=bool)
+    # rows with the same words and label say one thing; many copies of a text must not make its words look telling
+    rows = sorted({(b" ".join(sorted(words_of(t))), bool(y)) for t, y in zip(texts, toxic, strict=True)})
+    texts, toxic = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=bool)
     bad, good = int(toxic.sum()), int((~toxic).sum())
     if not bad or not good:
         return Ordinal({}, np.zeros(0), np.zeros(0))
-    bags = [words_of(t) for t in texts]
+    words = [words_of(t) for t in texts]
+    bags = [features_of(w) for w in words]
     df = [Counter(), Counter()]
     for bag, t in zip(bags, toxic, strict=True):
         df[int(t)].update(bag)
     z = {}
-    for word in df[1].keys() | {w for w, n in df[0].items() if n >= 20}:
+    for word in df[0].keys() | df[1].keys():
         a, b = df[1][word], df[0][word]
-        if a + b < 3:
-            continue
+        if a < max(3, least_share * bad) and b < max(3, least_share * good):
+            continue  # too few rows hold it; one family of near copies may be all of them
         p = (a + b) / (bad + good)
         z[word] = (a / bad - b / good) / np.sqrt(p * (1 - p) * (1 / bad + 1 / good) + 1e-12)
-    chosen = sorted((w for w in z if abs(z[w]) >= 3), key=lambda w: (-abs(z[w]), w))[:max_features]
+    chosen = sorted((w for w in z if abs(z[w]) >= least_z), key=lambda w: (-abs(z[w]), w))[:max_features]
     vocabulary = {w: j for j, w in enumerate(chosen)}
     # a telling word is rare in clean texts, or its excess is no more than chance in long texts
     tells = {w for w in chosen if z[w] >= telling and df[0][w] / good <= 0.2 * df[1][w] / bad}
-    hits = np.array([len(bag & tells) for bag in bags])
+    hits = np.array([sum(not tells.isdisjoint(features_of({w})) for w in own) for own in words])
     grade = np.where(~toxic, 0, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)))
     grades = np.unique(grade)
     grade = np.searchsorted(grades, grade)
