@@ -146,9 +146,9 @@ def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     queries = spark.createDataFrame(wanted, "rule int, conjunct int, trigram string")
     need = queries.groupBy("rule", "conjunct").agg(F.count("*").alias("need"))
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in sorted({g for _, _, g in wanted})]))
-    postings = docs.select(F.col(id_col).alias("id"), F.explode(held).alias("trigram"))
+    lowered = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("low"))  # a column of its own, made once a row
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in sorted({g for _, _, g in wanted})]))
+    postings = lowered.select("id", F.explode(held).alias("trigram"))
     # queries and needs are as long as the rules' texts, never as the corpus
     hits = postings.join(F.broadcast(queries), "trigram").groupBy("id", "rule", "conjunct").agg(F.count_distinct("trigram").alias("n"))
     true = hits.join(F.broadcast(need), ["rule", "conjunct"]).where("n = need")
