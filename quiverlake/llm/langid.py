@@ -112,7 +112,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_cols: list, text_col
 
         encoders = Encoders(shared.value, level, block)
         for batch in batches:
-            found = [encoders.judge(t, narrow) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [encoders.judge(t.as_py(), narrow) for t in batch.column(batch.num_columns - 1)]  # one text decoded at a time
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             names = [f.name for f in batch.schema][:-1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*names, "lang", "score", "margin", "rejected"])
