@@ -65,11 +65,9 @@ def fit(texts: list[bytes | None], toxic, max_features: int = 4096, telling: flo
     bad, good = int(toxic.sum()), int((~toxic).sum())
     if not bad or not good:
         return Ordinal({}, np.zeros(0), np.zeros(0))
-    words = [words_of(t) for t in texts]
-    bags = [features_of(w) for w in words]
     df = [Counter(), Counter()]
-    for bag, t in zip(bags, toxic, strict=True):
-        df[int(t)].update(bag)
+    for text, t in zip(texts, toxic, strict=True):  # the features of one row at a time; their counts alone are kept
+        df[int(t)].update(features_of(words_of(text)))
     z = {}
     for word in df[0].keys() | df[1].keys():
         a, b = df[1][word], df[0][word]
@@ -81,14 +79,19 @@ def fit(texts: list[bytes | None], toxic, max_features: int = 4096, telling: flo
     vocabulary = {w: j for j, w in enumerate(chosen)}
     # a telling word is rare in clean texts, or its excess is no more than chance in long texts
     tells = {w for w in chosen if z[w] >= telling and df[0][w] / good <= 0.2 * df[1][w] / bad}
-    hits = np.array([sum(not tells.isdisjoint(features_of({w})) for w in own) for own in words])
+    hits, rows, columns = [], [], []
+    for i, text in enumerate(texts):
+        own = words_of(text)
+        hits.append(sum(not tells.isdisjoint(features_of({w})) for w in own))
+        mine = [vocabulary[f] for f in features_of(own) if f in vocabulary]
+        rows += [i] * len(mine)
+        columns += mine
+    hits, rows, columns = np.array(hits), np.array(rows, dtype=int), np.array(columns, dtype=int)
     grade = np.where(~toxic, 0, np.where(hits <= 1, 1, np.where(hits <= 3, 2, 3)))
     grades = np.unique(grade)
     grade = np.searchsorted(grades, grade)
     k = len(grades) - 1
-    rows = np.concatenate([np.full(len(bag), i) for i, bag in enumerate([[vocabulary[w] for w in b if w in vocabulary] for b in bags])]).astype(int)
-    columns = np.array([vocabulary[w] for b in bags for w in b if w in vocabulary], dtype=int)
-    n, d = len(bags), len(chosen)
+    n, d = len(texts), len(chosen)
     share = np.array([np.mean(grade > c) for c in range(k)])
     cut = -np.log(share / (1 - share))
     # thresholds stay ordered: the first is free, the gaps are exponentials
