@@ -75,39 +75,44 @@ def thresholds(sized: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
     return state.select("source", (F.col("prefix") + F.when(over < under, 1).otherwise(0)).alias("below"))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[float] = (1, 2, 3), most: float = 3.0, max_broadcast_sources: int = 50_000,
-) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) for each row of docs; taken = copies x size.
+def plan(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, max_broadcast_sources: int = 50_000) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, passes, below), a row a source, and whether it is small enough to be broadcast.
 
-    The text is read once: ids, sources, sizes and hashes are written to the checkpoint folder and histograms are made of those.
+    A document is taken `passes` times, and once more if its hash is under `below`. sized: (source, size, hash), written before.
     """
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("hash"))
-    sized = materialize(sized)
     sources = materialize(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     small = sources.count() <= max_broadcast_sources
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     aims = sources.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
     rest = thresholds(sized, aims.where("budget > 0").select("source", "budget"), small)
     aims = aims.join(rest.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "budget")
-    out = _joined(sized, aims, small)
-    copies = F.col("passes") + (F.col("hash") < F.coalesce("below", F.lit(0))).cast("long")
-    out = out.withColumn("copies", copies)
+    return materialize(aims.withColumn("below", F.coalesce("below", F.lit(0)))), small
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The narrow table that histograms are made of; the texts are read once for it."""
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("hash")))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row of docs; taken = copies x size."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    aims, small = plan(sized, **options)
+    out = _joined(sized, aims, small).withColumn("copies", F.col("passes") + (F.col("hash") < F.col("below")).cast("long"))
     return out.select("id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs that the mix takes, with two more columns: copies (how often) and taken (words, repeats counted).
 
-    Copies depend on id and source alone, so they are looked up by both; rows without words are taken as often as their hash says.
+    Each row is judged by its own hash and its source's thresholds, so texts are never shuffled.
     """
-    key, copies, taken = fresh(docs, "mix_key"), fresh(docs, "copies"), fresh(docs, "taken")
-    name = lambda i, s: F.concat_ws("|", F.coalesce(F.concat(F.lit("="), i.cast("string")), F.lit("-")), s)
-    made = mix(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    made = made.select(name(F.col("id"), F.col("source")).alias(key), F.col("copies").alias(copies)).distinct()
-    joined = docs.withColumn(key, name(F.col(id_col), F.col(source_col))).join(made, key)
-    return joined.withColumn(taken, F.col(copies) * size_of(F.col(text_col))).drop(key)
+    copies, taken, of, passes, below = (fresh(docs, x) for x in ("copies", "taken", "mix_source", "mix_passes", "mix_below"))
+    aims, small = plan(_sized(docs, id_col, text_col, source_col), **options)
+    aims = aims.select(F.col("source").alias(of), F.col("passes").alias(passes), F.col("below").alias(below))
+    joined = docs.join(F.broadcast(aims) if small else aims, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    chosen = joined.withColumn(copies, F.col(passes) + (hash_of(F.col(f"`{id_col}`")) < F.col(below)).cast("long")).where(F.col(copies) > 0)
+    return chosen.withColumn(taken, F.col(copies) * size_of(F.col(f"`{text_col}`"))).drop(of, passes, below)
 
 
 ORACLE = r"""
