@@ -86,7 +86,7 @@ class Encoders:
         import math
 
         data = normalise(text) if text else b""
-        if not data or not self.langs:
+        if not data or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0, 0.0, True
         sizes = self.sizes(data)
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
