@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, materialize
 
 try:  # the parser of the standard library moved in 3.11
     from re import _constants as sre_c
@@ -174,10 +174,15 @@ def _spans(text: Column, number: int, rule: Rule) -> Column:
     return F.aggregate(pairs, start, add)["out"]
 
 
-def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secrets") -> DataFrame:
-    """docs with one more column `out`: array<struct(start, rule, end)> ordered by start, then rule (a number in `rules`)."""
+def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secrets", max_broadcast_rows: int = 200_000) -> DataFrame:
+    """docs with one more column `out`: array<struct(start, rule, end)> ordered by start, then rule (a number in `rules`).
+
+    Candidates are few narrow rows. They are written and counted; up to max_broadcast_rows they are broadcast, so that no text is
+    shuffled, and beyond that they are joined by a shuffle. Either way every document and candidate takes part.
+    """
     key, may = fresh(docs, "secret_id"), fresh(docs, "secret_rules")
-    found = candidates(docs, rules, id_col, text_col).select(F.struct("id").alias(key), F.col("rules").alias(may))
+    found = materialize(candidates(docs, rules, id_col, text_col).select(F.struct("id").alias(key), F.col("rules").alias(may)))
+    found = F.broadcast(found) if found.count() <= max_broadcast_rows else found
     # a struct of the id joins null ids too
     joined = docs.join(found, F.struct(F.col(f"`{id_col}`").alias("id")) == F.col(key), "left")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

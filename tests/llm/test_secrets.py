@@ -54,6 +54,12 @@ def test_repeated_and_null_ids(docs_of):
     assert got == [(-1, ""), (-1, "assign:0:14"), (1, ""), (1, "assign:0:13"), (1, "assign:0:13")]
 
 
+def test_shuffled_candidates_are_the_same(docs_of):
+    df = docs_of(TEXTS)
+    a, b = (sorted(map(str, S.scan(df, max_broadcast_rows=n).collect())) for n in (0, 10_000))
+    assert a == b
+
+
 def test_trigram_queries():
     assert S.trigram_query("[0-9a-f]{24,}") == {frozenset()}
     assert S.trigram_query("AKIA[A-Z0-9]+") == {frozenset({"aki", "kia"})}
