@@ -48,8 +48,8 @@ def kth_neighbor(e: DataFrame, k: int) -> DataFrame:
     """(vid, neighbor): for each vertex with more than k neighbours, the k-th of them, ascending, from 0."""
     if k < 0:
         raise IndexError("k is negative")
-    place = F.row_number().over(W.partitionBy(SRC).orderBy(DST)) - 1
-    return e.select(SRC, DST).withColumn("k", place).where(F.col("k") == k).select(F.col(SRC).alias(VID), F.col(DST).alias("neighbor"))
+    place = F.row_number().over(W.partitionBy(SRC).orderBy(DST))  # compared as it is, so that tasks keep the first k + 1 a vertex alone
+    return e.select(SRC, DST).withColumn("place", place).where(F.col("place") == k + 1).select(F.col(SRC).alias(VID), F.col(DST).alias("neighbor"))
 
 
 def neighbor_at(e: DataFrame, vid: int, k: int) -> int:

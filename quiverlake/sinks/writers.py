@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..operators.index import IndexGenerator
+from ..operators.index import IndexGenerator, dense_ids
 from ..plans import paths
 from ..plans.info import EDGE_CHUNK, VERTEX_CHUNK, EdgeInfo, GraphInfo, PropertyGroup, VertexInfo, infer_graph_info
 from ..plans.types import DST, LABELS, SRC, VID, AdjListType, Cardinality, FileType, Reserved
-from ..session import Store, materialize
+from ..session import Store
 from ..sources.control import write_value
 from .chunks import write_chunks
 
@@ -122,8 +122,9 @@ class VertexWriter:
 class EdgeWriter:
     """Writes one layout of an edge type from a frame with the columns src and dst.
 
-    count: of the aligned vertex type. The rows are numbered and cut into chunks once; that frame is checkpointed, so adjacency,
-    offsets and every property group see the same order."""
+    count: of the aligned vertex type. Rows are numbered in the order of part, ends and properties by ranges of these, so the
+    edges of one vertex, however many, are dealt to several tasks. The numbered frame is checkpointed, so adjacency, offsets and every
+    property group see the same order."""
 
     def __init__(self, prefix: str, info: EdgeInfo, layout: AdjListType | str, count: int, df: DataFrame, level: ValidateLevel = ValidateLevel.WEAK, mode: WriteMode = WriteMode.OVERWRITE, reserved: Reserved | None = None):
         if SRC not in df.columns or DST not in df.columns:
@@ -142,17 +143,19 @@ class EdgeWriter:
             check_rows(df, info.property_groups)
             if (bad := df.where(F.col(self.aligned).isNull() | F.col(self.other).isNull() | (F.col(self.aligned) < 0) | (F.col(self.aligned) >= count) | (F.col(self.other) < 0)).count()) > 0:
                 raise ValueError(f"{bad} edges have an end out of bounds")
-        self.rows = materialize(self._placed(df))
-        per = {r["__part"]: r.n for r in self.rows.groupBy("__part").agg(F.count("*").alias("n")).collect()}
+        keep = [SRC, DST, *[p.name for p in info.properties]]
+        parted = df.select(*[F.col(f"`{c}`") for c in keep], F.floor(F.col(self.aligned) / self.size).cast("long").alias("__part"))
+        # repeated edges keep their multiplicity; their properties order them
+        numbered = dense_ids(parted, ["__part", self.aligned, self.other, *[p.name for p in info.properties]], "__place")
+        per = {r["__part"]: r.n for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect()}
         self.counts = [per.get(p, 0) for p in range(paths.chunk_count(count, self.size))]  # a number a vertex chunk
-
-    def _placed(self, df: DataFrame) -> DataFrame:
-        """Part, place in the part and chunk of each edge. Repeated edges keep their multiplicity; their properties order them."""
-        keep = [SRC, DST, *[p.name for p in self.info.properties]]
-        df = df.select(*[F.col(f"`{c}`") for c in keep], F.floor(F.col(self.aligned) / self.size).cast("long").alias("__part"))
-        ties = [F.col(f"`{p.name}`") for p in self.info.properties]
-        place = F.row_number().over(W.partitionBy("__part").orderBy(self.aligned, self.other, *ties)) - 1
-        return df.withColumn("__place", place.cast("long")).withColumn("__chunk", F.floor(F.col("__place") / self.info.chunk_size).cast("long"))
+        before, starts = 0, []
+        for part in sorted(p for p in per if p is not None):
+            starts.append((part, before))
+            before += per[part]
+        table = self.spark.createDataFrame(starts, "__part long, __start long")  # a row a vertex chunk
+        placed = numbered.join(table, "__part").withColumn("__place", F.col("__place") - F.col("__start")).drop("__start")
+        self.rows = placed.withColumn("__chunk", F.floor(F.col("__place") / info.chunk_size).cast("long"))
 
     def write_edge_counts(self) -> None:
         """The aligned type's count and a count for every vertex chunk, empty ones too."""

@@ -8,6 +8,7 @@ a row is told by its part, chunk and place in the file, for other formats than P
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,14 +194,21 @@ class EdgeReader:
 
     def read_edges_number(self, part: int | None = None) -> int:
         """Of one vertex chunk, or of all; from control files."""
-        parts = range(self.read_vertex_chunk_number()) if part is None else [part]
-        return sum(read_value(self.spark, paths.edge_count(self.prefix, self.info, self.layout, p)) for p in parts)
+        return sum(self.edge_counts()) if part is None else read_value(self.spark, paths.edge_count(self.prefix, self.info, self.layout, part))
+
+    def edge_counts(self) -> list[int]:
+        """Of every vertex chunk; the small files are read side by side."""
+        files = [paths.edge_count(self.prefix, self.info, self.layout, p) for p in range(self.read_vertex_chunk_number())]
+        with ThreadPoolExecutor(16) as pool:
+            return list(pool.map(lambda f: read_value(self.spark, f), files))
 
     def _parts(self, part: int | None) -> list[int]:
         n = self.read_vertex_chunk_number()
         if part is not None and not 0 <= part < n:
             raise IndexError(f"{self.info.name} has {n} vertex chunks")
-        return [p for p in (range(n) if part is None else [part]) if self.read_edges_number(p)]
+        if part is not None:
+            return [part] if self.read_edges_number(part) else []
+        return [p for p, edges in enumerate(self.edge_counts()) if edges]
 
     # chunks
 
@@ -258,9 +266,9 @@ class EdgeReader:
             eid = F.col(PLACE[1]) * size + F.col(PLACE[2])
             if part is None:
                 before, starts = 0, []
-                for p in range(self.read_vertex_chunk_number()):
+                for p, edges in enumerate(self.edge_counts()):
                     starts.append((p, before))
-                    before += self.read_edges_number(p)
+                    before += edges
                 table = self.spark.createDataFrame(starts, f"{PLACE[0]} long, __before long")  # a row a vertex chunk
                 df = df.join(table, PLACE[0])
                 eid = eid + F.col("__before")
@@ -273,7 +281,6 @@ class EdgeReader:
             raise ValueError("only ordered layouts have offsets")
         path = paths.offset_chunk(self.prefix, self.info, self.layout, part)
         size = self.info.aligned_chunk(self.layout)
-        df = self._load(self.adj.file_type, path, [], False) if self.adj.file_type in (FileType.JSON,) else plain_names(read_files(self.spark, self.adj.file_type, path))
         if self.adj.file_type is FileType.PARQUET:
             df = plain_names(read_files(self.spark, FileType.PARQUET, path).select("*", F.col("_metadata.row_index").alias("__row")))
         else:
