@@ -36,7 +36,7 @@ def pagerank(e: DataFrame, count: int, damping: float = 0.85, rounds: int = 10,
 def connected_components(e: DataFrame, count: int) -> DataFrame:
     """(vid, component) for every vertex: the smallest vertex that undirected edges reach.
 
-    Edges are contracted: each vertex points to its smallest neighbour, pointers are followed, and edges are rewritten to what they point to,
+    Edges are contracted: each vertex points to its smallest neighbour, pointers are followed to their ends by doubling, and edges are rewritten to what they point to,
     so the number of rounds grows with the logarithm of the longest path.
     """
     spark = e.sparkSession
@@ -45,9 +45,12 @@ def connected_components(e: DataFrame, count: int) -> DataFrame:
     while not live.isEmpty():
         ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = materialize(ends.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
-        for _ in range(2):
-            point = point.join(point.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", F.col("next").alias("to"))
-        point = materialize(point)
+        settled = False
+        while not settled:  # pointers double their reach until each ends at a local minimum
+            further = point.select(F.col("a").alias("to"), F.col("to").alias("next"))
+            reach = materialize(point.join(further, "to").select("a", "to", "next"))
+            settled = reach.where("next <> to").isEmpty()
+            point = reach.select("a", F.col("next").alias("to"))
         names = names.join(point.withColumnRenamed("a", "component"), "component", "left").select(VID, F.coalesce("to", "component").alias("component"))
         names = materialize(names)
         ra, rb = point.select("a", F.col("to").alias("ra")), point.select(F.col("a").alias("b"), F.col("to").alias("rb"))
