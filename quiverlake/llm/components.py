@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", jumps: int = 2) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for each node with a link to another; all nodes of a component share one root.
 
-    A round lets each node point to its smallest neighbour, if smaller, follows the pointers a few steps, and replaces
+    A round lets each node point to its smallest neighbour, if smaller, follows the pointers to their ends by doubling, and replaces
     both ends of each edge by what they point to. Edges inside a merged part vanish, so the table shrinks until it is
-    empty, after a number of rounds that grows with the logarithm of the largest component. Each round is cut off with a
+    empty. At least half of the nodes vanish in a round, so rounds, and doublings in one, grow with the logarithm of the component. Each round is cut off with a
     checkpoint. Minimum and duplicates are pre-aggregated, so a node with very many links makes no large group.
     """
     live = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
@@ -22,10 +22,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", jumps: in
         ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
         point = ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.other").alias("root")).select("node", F.least("node", "root").alias("root"))
         point = materialize(point)
-        for _ in range(jumps):
+        settled = False
+        while not settled:  # pointers double their reach until each ends at a local minimum
             further = point.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            point = point.join(further, "root").select("node", F.col("next").alias("root"))
-        point = materialize(point)
+            reach = materialize(point.join(further, "root").select("node", "root", "next"))
+            settled = reach.where("next <> root").isEmpty()
+            point = reach.select("node", F.col("next").alias("root"))
         step = point.select(F.col("node").alias("root"), F.col("root").alias("next"))
         roots = point if roots is None else roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
         roots = materialize(roots)
