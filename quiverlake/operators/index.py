@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..plans.types import DST, EID, SRC, VID
 from ..session import materialize
@@ -20,9 +19,11 @@ def dense_ids(df: DataFrame, order: list[str], name: str = VID) -> DataFrame:
     ranged = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
     ranged = materialize(ranged.withColumn("__range", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id()))
     low = F.col("__mono").bitwiseAND(F.lit((1 << 33) - 1))  # the place inside a task
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
-    start = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__range", start.alias("__start"))  # a row a task
+    starts, before = [], 0
+    for task, n in sorted(tuple(r) for r in ranged.groupBy("__range").agg(F.count("*")).collect()):  # a row a task
+        starts.append((task, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(starts, "__range int, __start long")
     return ranged.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + low).select(*[F.col(f"`{c}`") for c in df.columns], name)
 
 
@@ -54,7 +55,7 @@ class IndexGenerator:
         key = key or df.columns[0]
         if check:
             check_keys(df, key)
-        indexed = materialize(dense_ids(df, [key]))
+        indexed = dense_ids(df, [key])  # its rows are checkpointed already; what is left to do is a sum
         return indexed, IndexGenerator.mapping(indexed, key)
 
     @staticmethod

@@ -265,12 +265,7 @@ UNION ALL SELECT c, c * {VERTEX_SIZE}, 0 FROM (SELECT unnest(range((SELECT max(v
 
 @query("ce", OFFSETS)
 def scan_offsets(t: Tables) -> DataFrame:
-    r = t.edge_reader()
-    frames = [r.read_offset(p).select(F.lit(p).cast("long").alias("chunk"), VID, "offset") for p in range(r.read_vertex_chunk_number())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return t.edge_reader().read_offsets()
 
 
 @query("ce", "SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM ce")

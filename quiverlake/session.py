@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,15 +27,52 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that materialize() returned and that nothing will read again; other frames are left as they are."""
+    for df in frames:
+        plan = None if df is None else df._jdf.queryExecution().logical()
+        if plan is None or plan.getClass().getSimpleName() != "LogicalRDD":
+            continue
+        file = plan.rdd().getCheckpointFile()
+        if file.isDefined():
+            Store(df.sparkSession).delete(file.get())
+
+
+#: Threads that work on small files side by side. They are kept, as each holds a connection to the JVM.
+POOL = ThreadPoolExecutor(8, thread_name_prefix="quiverlake-files")
+_JOBS = ThreadPoolExecutor(4, thread_name_prefix="quiverlake-jobs")
+
+
+def side_by_side(*jobs: Callable[[], object]) -> None:
+    """Run Spark jobs that don't depend on each other at the same time; the first error is raised after all have ended."""
+    running = [_JOBS.submit(job) for job in jobs]
+    wait(running)
+    for one in running:
+        one.result()
+
+
 class Store:
     """Small files and renames on any Hadoop file system, from the driver."""
 
+    _classes: dict[int, tuple] = {}
+
     def __init__(self, spark: SparkSession):
-        self.spark, self._jvm = spark, spark.sparkContext._jvm
+        self.spark, jvm = spark, spark.sparkContext._jvm
+        if id(jvm) not in Store._classes:  # each dot of a class name is a call to the JVM
+            kept = jvm.org.apache.hadoop.fs.Path, jvm.org.apache.commons.io.IOUtils
+            Store._classes.clear()
+            Store._classes[id(jvm)] = (jvm, *kept)
+        _, self._path, self._io = Store._classes[id(jvm)]
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._systems: dict[str, object] = {}
 
     def _at(self, path: str):
-        p = self._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        p = self._path(path)
+        root = path.split("/", 3)[:3] if "://" in path else path.split(":", 1)[:1] if ":" in path else [""]
+        fs = self._systems.get("/".join(root))
+        if fs is None:
+            fs = self._systems["/".join(root)] = p.getFileSystem(self._conf)
+        return fs, p
 
     def exists(self, path: str) -> bool:
         fs, p = self._at(path)
@@ -42,7 +82,7 @@ class Store:
         fs, p = self._at(path)
         stream = fs.open(p)
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            return bytes(self._io.toByteArray(stream))
         finally:
             stream.close()
 
@@ -67,21 +107,35 @@ class Store:
             return []
         return sorted((s.getPath().toString(), s.isDirectory(), s.getLen()) for s in fs.listStatus(p))
 
+    def files(self, path: str) -> list[str]:
+        """All files under a folder."""
+        fs, p = self._at(path)
+        found, out = fs.listFiles(p, True), []
+        while found.hasNext():
+            out.append(found.next().getPath().toString())
+        return out
+
     def make(self, path: str) -> None:
         fs, p = self._at(path)
         fs.mkdirs(p)
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
-        if fs.exists(p):
-            fs.delete(p, True)
+        fs.delete(p, True)  # False if it isn't there
 
     def rename(self, old: str, new: str) -> None:
-        """new is replaced if it is there."""
+        """new is replaced if it is there: it is moved aside under a hidden name first and deleted last, so a crash loses neither."""
         fs, a = self._at(old)
         _, b = self._at(new)
-        if fs.exists(b):
-            fs.delete(b, True)
         fs.mkdirs(b.getParent())
+        aside = None
+        if fs.exists(b):
+            aside = self._path(b.getParent(), f".{b.getName()}.old-{uuid4().hex}")
+            if not fs.rename(b, aside):
+                raise OSError(f"{new} can't be moved aside")
         if not fs.rename(a, b):
+            if aside is not None:
+                fs.rename(aside, b)
             raise OSError(f"{old} can't be renamed to {new}")
+        if aside is not None:
+            fs.delete(aside, True)

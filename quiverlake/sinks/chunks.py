@@ -1,5 +1,9 @@
 """The chunk sink: rows that carry a chunk's keys become exactly one file a chunk, under the chunk's own name.
 
+Rows are dealt by a hash that is made here and into a number of tasks that is fixed here. No frame can already be dealt that way, so neither the
+planner (which drops a repartition that its child seems to fulfil, as a union of frames dealt by the same keys does) nor the coalescing of small
+partitions can leave a chunk in two tasks.
+
 Spark's writers write one file for each combination of keys into a staging folder, with Spark's commit protocol, so retried
 and speculative tasks leave nothing behind; the driver then renames committed files. A chunk is one task's work at most, as its size is bounded by the metadata.
 """
@@ -7,27 +11,53 @@ and speculative tasks leave nothing behind; the driver then renames committed fi
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.types import FileType
-from ..session import Store
+from ..session import POOL, Store
+
+
+#: A task writes about this many chunks at most, one after the other.
+CHUNKS_A_TASK = 64
+
+
+def tasks_for(spark: SparkSession, chunks: int | None) -> int:
+    """How many tasks write so many chunks: the session's shuffle partitions, fewer for few chunks and more for very many."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return usual if chunks is None else max(1, min(chunks, max(usual, -(-chunks // CHUNKS_A_TASK))))
 
 
-def write_chunks(df: DataFrame, keys: list[str], order: list[str], columns: list[str], kind: FileType, base: str, name_of: Callable[..., str], replace: bool = True) -> list[tuple]:
+def write_chunks(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    columns: list[str],
+    kind: FileType,
+    base: str,
+    name_of: Callable[..., str],
+    replace: bool = True,
+    chunks: int | None = None,
+) -> list[tuple]:
     """Write columns of df by chunk: each combination of the long columns `keys` is the file name_of(*keys), its rows in `order`.
 
-    Returns the keys written. With replace False a chunk that is there already is an error, before anything is renamed.
+    Returns the keys written. With replace False a chunk that is there already is an error, before anything is renamed. chunks: about how many
+    there will be, if that is known.
     """
     spark, store = df.sparkSession, Store(df.sparkSession)
     staging = f"{base.rstrip('/')}/.staging-{uuid4().hex}"
     hidden = [f"__key{i}" for i in range(len(keys))]
-    data = df.select(*[F.col(k).alias(h) for k, h in zip(keys, hidden, strict=True)], *[F.col(o).alias(f"__order{i}") for i, o in enumerate(order)], *[F.col(f"`{c}`") for c in columns])
-    data = data.repartition(*hidden).sortWithinPartitions(*hidden, *[f"__order{i}" for i in range(len(order))])
-    writer = data.drop(*[f"__order{i}" for i in range(len(order))]).write.partitionBy(*hidden)
+    places = [f"__order{i}" for i in range(len(order))]
+    data = df.select(
+        *[F.col(k).alias(h) for k, h in zip(keys, hidden, strict=True)],
+        *[F.col(o).alias(h) for o, h in zip(order, places, strict=True)],
+        *[F.col(f"`{c}`") for c in columns],
+    )
+    data = data.withColumn("__deal", F.xxhash64(F.lit("chunk"), *hidden)).repartition(tasks_for(spark, chunks), "__deal")
+    data = data.sortWithinPartitions(*hidden, *places)
+    writer = data.drop("__deal", *places).write.partitionBy(*hidden)
     if kind in (FileType.PARQUET, FileType.ORC):
         writer = writer.option("compression", "zstd")
     if kind is FileType.CSV:
@@ -37,23 +67,16 @@ def write_chunks(df: DataFrame, keys: list[str], order: list[str], columns: list
     try:
         writer.format(kind.value).save(staging)
 
-        def files(folder: str, left: int) -> list[tuple[tuple, str]]:
-            found = []
-            for path, is_dir, _ in store.list(folder):
-                name = path.rsplit("/", 1)[1]
-                if left and is_dir and name.startswith("__key"):
-                    found += [((int(name.split("=")[1]), *k), f) for k, f in files(path, left - 1)]
-                elif not left and not is_dir and name.startswith("part-"):
-                    found.append(((), path))
-            return found
-
-        made = files(staging, len(keys))
+        made = []
+        for path in store.files(staging):
+            *folders, name = path.rsplit("/", len(keys) + 1)[1:]
+            if name.startswith("part-"):
+                made.append((tuple(int(x.split("=")[1]) for x in folders), path))
         if len({k for k, _ in made}) < len(made):
             raise RuntimeError("a chunk was written as more than one file; unset spark.sql.files.maxRecordsPerFile")
         if not replace and (there := [k for k, _ in made if store.exists(name_of(*k))]):
             raise FileExistsError(name_of(*there[0]))
-        with ThreadPoolExecutor(16) as pool:
-            list(pool.map(lambda x: store.rename(x[1], name_of(*x[0])), made))
+        list(POOL.map(lambda x: store.rename(x[1], name_of(*x[0])), made))
         return sorted(k for k, _ in made)
     finally:
         store.delete(staging)

@@ -5,8 +5,10 @@ Publication order: data, then counts, then metadata, so that an archive whose me
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from enum import Enum
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,14 +18,23 @@ from ..operators.index import IndexGenerator, dense_ids
 from ..plans import paths
 from ..plans.info import EDGE_CHUNK, VERTEX_CHUNK, EdgeInfo, GraphInfo, PropertyGroup, VertexInfo, infer_graph_info
 from ..plans.types import DST, LABELS, SRC, VID, AdjListType, Cardinality, FileType, Reserved
-from ..session import Store
+from ..session import POOL, Store, side_by_side
 from ..sources.control import write_value
 from .chunks import write_chunks
 
 
 class WriteMode(str, Enum):
+    """append is known so that it can be refused: a chunk is written once and as a whole; deltas take what arrives later."""
+
     CREATE_NEW = "create_new"
     OVERWRITE = "overwrite"
+    APPEND = "append"
+
+    @classmethod
+    def replaces(cls, mode: WriteMode | str) -> bool:
+        if cls(mode) is cls.APPEND:
+            raise ValueError("chunks can't be appended to; write a delta, or rewrite the chunk")
+        return cls(mode) is cls.OVERWRITE
 
 
 class ValidateLevel(str, Enum):
@@ -71,7 +82,7 @@ class VertexWriter:
         if bad := info.issues():
             raise ValueError("; ".join(bad))
         self.prefix, self.info, self.df, self.reserved = prefix, info, df, reserved or Reserved()
-        self.level, self.replace = ValidateLevel(level), WriteMode(mode) is WriteMode.OVERWRITE
+        self.level, self.replace = ValidateLevel(level), WriteMode.replaces(mode)
         self.count = df.count() if count is None else count
 
     def _check(self, groups: Sequence[PropertyGroup]) -> None:
@@ -92,9 +103,17 @@ class VertexWriter:
         if group is not None and group not in self.info.property_groups:
             raise KeyError("no such property group")
         self._check(groups)
-        for g in groups:
-            df = self._chunked().withColumnRenamed(VID, self.reserved.vertex)
-            write_chunks(df, ["__chunk"], [self.reserved.vertex], [self.reserved.vertex, *g.names], g.file_type, paths.vertex_group(self.prefix, self.info, g), lambda c, g=g: paths.vertex_chunk(self.prefix, self.info, g, c), self.replace)
+        side_by_side(*[partial(self._write_group, g) for g in groups])
+
+    def _write_group(self, g: PropertyGroup) -> None:
+        df = self._chunked().withColumnRenamed(VID, self.reserved.vertex)
+        name_of = lambda c: paths.vertex_chunk(self.prefix, self.info, g, c)
+        columns, base = [self.reserved.vertex, *g.names], paths.vertex_group(self.prefix, self.info, g)
+        write_chunks(df, ["__chunk"], [self.reserved.vertex], columns, g.file_type, base, name_of, self.replace, self._chunks)
+
+    @property
+    def _chunks(self) -> int:
+        return paths.chunk_count(self.count, self.info.chunk_size)
 
     def write_vertex_labels(self) -> None:
         """A boolean column for each label of the type, from the column :LABEL."""
@@ -104,13 +123,15 @@ class VertexWriter:
             raise ValueError(f"the frame lacks {LABELS}")
         held = F.coalesce(F.col(f"`{LABELS}`"), F.array().cast("array<string>"))
         df = self._chunked().select("__chunk", VID, *[F.array_contains(held, F.lit(x)).alias(x) for x in self.info.labels])
-        write_chunks(df, ["__chunk"], [VID], list(self.info.labels), FileType.PARQUET, paths.label_folder(self.prefix, self.info), lambda c: paths.label_chunk(self.prefix, self.info, c), self.replace)
+        name_of = lambda c: paths.label_chunk(self.prefix, self.info, c)
+        base = paths.label_folder(self.prefix, self.info)
+        write_chunks(df, ["__chunk"], [VID], list(self.info.labels), FileType.PARQUET, base, name_of, self.replace, self._chunks)
 
     def write(self) -> None:
-        """Groups, labels, then the count."""
-        self.write_vertex_properties()
-        if self.info.labels:
-            self.write_vertex_labels()
+        """Groups and labels, then the count."""
+        self._check(self.info.property_groups)
+        jobs = [partial(self._write_group, g) for g in self.info.property_groups]
+        side_by_side(*jobs, *([self.write_vertex_labels] if self.info.labels else []))
         self.write_vertices_number()
 
     def write_vertex_partition(self, chunk: int) -> None:
@@ -123,8 +144,10 @@ class EdgeWriter:
     """Writes one layout of an edge type from a frame with the columns src and dst.
 
     count: of the aligned vertex type. Rows are numbered in the order of part, ends and properties by ranges of these, so the
-    edges of one vertex, however many, are dealt to several tasks. The numbered frame is checkpointed, so adjacency, offsets and every
-    property group see the same order."""
+    edges of one vertex, however many, are dealt to several tasks. The ordered rows are checkpointed once; adjacency, offsets and every property
+    group number them by two small broadcast tables, so all see the same order and none shuffles by vertex chunk."""
+
+    MAX_BROADCAST_PARTS = 1_000_000  # rows of two longs
 
     def __init__(self, prefix: str, info: EdgeInfo, layout: AdjListType | str, count: int, df: DataFrame, level: ValidateLevel = ValidateLevel.WEAK, mode: WriteMode = WriteMode.OVERWRITE, reserved: Reserved | None = None):
         if SRC not in df.columns or DST not in df.columns:
@@ -133,7 +156,7 @@ class EdgeWriter:
             raise ValueError("; ".join(bad))
         self.prefix, self.info, self.layout, self.count = prefix, info, AdjListType(layout), count
         self.adj = info.adj_list(self.layout)
-        self.level, self.replace, self.reserved = ValidateLevel(level), WriteMode(mode) is WriteMode.OVERWRITE, reserved or Reserved()
+        self.level, self.replace, self.reserved = ValidateLevel(level), WriteMode.replaces(mode), reserved or Reserved()
         self.aligned, self.other = (SRC, DST) if self.layout.by_source else (DST, SRC)
         self.size = info.aligned_chunk(self.layout)
         self.spark = df.sparkSession
@@ -153,68 +176,130 @@ class EdgeWriter:
         for part in sorted(p for p in per if p is not None):
             starts.append((part, before))
             before += per[part]
+        self.chunks = sum(paths.chunk_count(n, info.chunk_size) for n in self.counts)
         table = self.spark.createDataFrame(starts, "__part long, __start long")  # a row a vertex chunk
-        placed = numbered.join(table, "__part").withColumn("__place", F.col("__place") - F.col("__start")).drop("__start")
+        placed = numbered.join(F.broadcast(table) if len(starts) <= self.MAX_BROADCAST_PARTS else table, "__part").withColumn("__place", F.col("__place") - F.col("__start")).drop("__start")
         self.rows = placed.withColumn("__chunk", F.floor(F.col("__place") / info.chunk_size).cast("long"))
 
     def write_edge_counts(self) -> None:
         """The aligned type's count and a count for every vertex chunk, empty ones too."""
+        store = Store(self.spark)
+        list(POOL.map(lambda p: self.write_edge_count(*p, store), enumerate(self.counts)))
         write_value(self.spark, paths.edge_vertex_count(self.prefix, self.info, self.layout), self.count)
-        for part, n in enumerate(self.counts):
-            write_value(self.spark, paths.edge_count(self.prefix, self.info, self.layout, part), n)
-
-    def offsets(self) -> DataFrame:
-        """(part, vid, offset): for each aligned vertex where its edges begin in its part; then where the part ends."""
-        degree = self.rows.groupBy(self.aligned).agg(F.count("*").alias("n"))
-        ids = self.spark.range(self.count).select(F.col("id").alias(VID), F.floor(F.col("id") / self.size).cast("long").alias("part"))
-        ids = ids.join(degree.withColumnRenamed(self.aligned, VID), VID, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def write_edge_count(self, part: int, n: int, store: Store | None = None) -> None:
+        write_value(self.spark, paths.edge_count(self.prefix, self.info, self.layout, part), n, store)
+
+    def offsets(self, part: int | None = None) -> DataFrame:
+        """(part, vid, offset): for each aligned vertex where its edges begin in its part; then where the part ends. A part's
+        vertices meet in one task, which the metadata bounds."""
+        degree = self.rows.groupBy(F.col(self.aligned).alias(VID)).agg(F.count("*").alias("n"))
+        first, end = (0, self.count) if part is None else (part * self.size, min(self.count, (part + 1) * self.size))
+        ids = self.spark.range(first, end).select(F.col("id").alias(VID), F.floor(F.col("id") / self.size).cast("long").alias("part"))
+        ids = ids.join(degree, VID, "left").withColumn("n", F.coalesce("n", F.lit(0)))
         up = F.sum("n").over(W.partitionBy("part").orderBy(VID).rowsBetween(W.unboundedPreceding, 0))
-        ends = ids.select("part", (F.col(VID) + 1).alias(VID), up.alias("offset"))
-        starts = ids.groupBy("part").agg(F.min(VID).alias(VID)).select("part", VID, F.lit(0).cast("long").alias("offset"))
-        return ends.unionByName(starts)
+        place = lambda vid, at: F.struct(vid.alias(VID), at.cast("long").alias("offset"))
+        after = place(F.col(VID) + 1, F.col("up"))
+        opens = F.col(VID) % self.size == 0  # a chunk's first vertex also carries the leading 0
+        return ids.withColumn("up", up).select("part", F.inline(F.when(opens, F.array(place(F.col(VID), F.lit(0)), after)).otherwise(F.array(after))))
 
-    def write_offsets(self) -> None:
+    def write_offsets(self, part: int | None = None) -> None:
         if not self.layout.ordered:
             raise ValueError("only ordered layouts have offsets")
-        df = self.offsets().withColumnRenamed("offset", self.reserved.offset)
-        write_chunks(df, ["part"], [VID], [self.reserved.offset], self.adj.file_type, paths.offset_folder(self.prefix, self.info, self.layout), lambda p: paths.offset_chunk(self.prefix, self.info, self.layout, p), self.replace)
+        df = self.offsets(part).withColumnRenamed("offset", self.reserved.offset)
+        name_of = lambda p: paths.offset_chunk(self.prefix, self.info, self.layout, p)
+        base = paths.offset_folder(self.prefix, self.info, self.layout)
+        write_chunks(df, ["part"], [VID], [self.reserved.offset], self.adj.file_type, base, name_of, self.replace, len(self.counts) if part is None else 1)
+
+    def _write_topology(self) -> None:
+        df = self.rows.withColumnsRenamed({SRC: self.reserved.src, DST: self.reserved.dst})
+        name_of = lambda p, c: paths.adj_chunk(self.prefix, self.info, self.layout, p, c)
+        base, columns = paths.adj_folder(self.prefix, self.info, self.layout), [self.reserved.src, self.reserved.dst]
+        write_chunks(df, ["__part", "__chunk"], ["__place"], columns, self.adj.file_type, base, name_of, self.replace, self.chunks)
 
     def write_adj_list(self) -> None:
         """Adjacency, offsets if the layout is ordered, then counts."""
-        df = self.rows.withColumnsRenamed({SRC: self.reserved.src, DST: self.reserved.dst})
-        write_chunks(df, ["__part", "__chunk"], ["__place"], [self.reserved.src, self.reserved.dst], self.adj.file_type, paths.adj_folder(self.prefix, self.info, self.layout), lambda p, c: paths.adj_chunk(self.prefix, self.info, self.layout, p, c), self.replace)
+        self._write_topology()
         if self.layout.ordered:
             self.write_offsets()
         self.write_edge_counts()
 
+    def _write_group(self, g: PropertyGroup) -> None:
+        if g not in self.info.property_groups:
+            raise KeyError("no such property group")
+        name_of = lambda p, c: paths.edge_group_chunk(self.prefix, self.info, self.layout, g, p, c)
+        base = paths.edge_group(self.prefix, self.info, self.layout, g)
+        write_chunks(self.rows, ["__part", "__chunk"], ["__place"], g.names, g.file_type, base, name_of, self.replace, self.chunks)
+
     def write_edge_properties(self, group: PropertyGroup | None = None) -> None:
-        for g in self.info.property_groups if group is None else [group]:
-            if g not in self.info.property_groups:
-                raise KeyError("no such property group")
-            write_chunks(self.rows, ["__part", "__chunk"], ["__place"], g.names, g.file_type, paths.edge_group(self.prefix, self.info, self.layout, g), lambda p, c, g=g: paths.edge_group_chunk(self.prefix, self.info, self.layout, g, p, c), self.replace)
+        side_by_side(*[partial(self._write_group, g) for g in (self.info.property_groups if group is None else [group])])
 
     def write_edges(self) -> None:
-        self.write_edge_properties()
-        self.write_adj_list()
-
-
-def rewrite_edge_partition(prefix: str, info: EdgeInfo, layout: AdjListType | str, part: int, df: DataFrame, count: int, reserved: Reserved | None = None) -> None:
-    """Rewrite one vertex chunk's edges: adjacency, properties, its offset chunk and its count; other parts stay as they are."""
-    layout = AdjListType(layout)
-    size = info.aligned_chunk(layout)
-    aligned = SRC if layout.by_source else DST
-    w = EdgeWriter(prefix, info, layout, count, df.where(F.floor(F.col(aligned) / size) == part), ValidateLevel.WEAK, WriteMode.OVERWRITE, reserved)
-    store = Store(df.sparkSession)
-    store.delete(paths.adj_part(prefix, info, layout, part))
-    for g in info.property_groups:
-        store.delete(paths.edge_group_part(prefix, info, layout, g, part))
-    w.write_edge_properties()
-    names = w.rows.withColumnsRenamed({SRC: w.reserved.src, DST: w.reserved.dst})
-    write_chunks(names, ["__part", "__chunk"], ["__place"], [w.reserved.src, w.reserved.dst], w.adj.file_type, paths.adj_folder(prefix, info, layout), lambda p, c: paths.adj_chunk(prefix, info, layout, p, c))
-    if layout.ordered:
-        mine = w.offsets().where(F.col("part") == part).withColumnRenamed("offset", w.reserved.offset)
-        write_chunks(mine, ["part"], [VID], [w.reserved.offset], w.adj.file_type, paths.offset_folder(prefix, info, layout), lambda p: paths.offset_chunk(prefix, info, layout, p))
-    write_value(df.sparkSession, paths.edge_count(prefix, info, layout, part), w.counts[part])
+        """Properties, adjacency and offsets at the same time, then counts."""
+        jobs = [partial(self._write_group, g) for g in self.info.property_groups]
+        side_by_side(*jobs, self._write_topology, *([self.write_offsets] if self.layout.ordered else []))
+        self.write_edge_counts()
+
+
+READY = "ready.json"
+
+
+def _rewrite_folder(prefix: str, info: EdgeInfo, layout: AdjListType, part: int) -> str:
+    return f"{paths.layout_folder(prefix, info, layout)}.rewrite-part{part}/"
+
+
+def rewrite_edge_partition(
+    prefix: str, info: EdgeInfo, layout: AdjListType | str, part: int, df: DataFrame, count: int, reserved: Reserved | None = None
+) -> None:
+    """Rewrite one vertex chunk's edges: adjacency, properties, its offset chunk and its count; other parts stay as they are.
+
+    Everything is written into a hidden folder first. Then a record of the moves commits the rewrite, and files are swapped in; what they replace is moved
+    aside and deleted last. A crash before the record leaves the old part; after it, `finish_rewrites` (or the next rewrite of the part) completes the swap.
+    """
+    layout, spark = AdjListType(layout), df.sparkSession
+    store, folder = Store(spark), _rewrite_folder(prefix, info, layout, part)
+    _finish(store, prefix, folder)
+    mine = df.where(F.floor(F.col(SRC if layout.by_source else DST) / info.aligned_chunk(layout)) == part)
+    w = EdgeWriter(folder, info, layout, count, mine, ValidateLevel.WEAK, WriteMode.OVERWRITE, reserved)
+    jobs = [partial(w._write_group, g) for g in info.property_groups]
+    side_by_side(*jobs, w._write_topology, *([partial(w.write_offsets, part)] if layout.ordered else []))
+    w.write_edge_count(part, w.counts[part])
+    made = [lambda at: paths.adj_part(at, info, layout, part)]
+    made += [lambda at, g=g: paths.edge_group_part(at, info, layout, g, part) for g in info.property_groups]
+    made += [lambda at: paths.offset_chunk(at, info, layout, part)] if layout.ordered else []
+    made += [lambda at: paths.edge_count(at, info, layout, part)]
+    moves = [name("").rstrip("/") for name in made]
+    gone = [m for m in moves if not store.exists(folder + m)]  # a part without edges has no chunks
+    store.write_text(f"{folder}.{READY}", json.dumps({"moves": moves, "gone": gone}))
+    store.rename(f"{folder}.{READY}", folder + READY)
+    _finish(store, prefix, folder)
+
+
+def _finish(store: Store, prefix: str, folder: str) -> None:
+    """Complete a committed rewrite; drop one that wasn't committed. Each step can be repeated."""
+    if not store.exists(folder):
+        return
+    if store.exists(folder + READY):
+        plan = json.loads(store.read_text(folder + READY))
+        for name in plan["moves"]:
+            if name in plan["gone"]:
+                store.delete(prefix + name)
+            elif store.exists(folder + name):
+                store.rename(folder + name, prefix + name)
+            place, _, last = (prefix + name).rpartition("/")
+            for path, _, _ in store.list(place):  # what a crash left aside
+                if path.rsplit("/", 1)[1].startswith(f".{last}.old-"):
+                    store.delete(path)
+        store.delete(folder + READY)
+    store.delete(folder)
+
+
+def finish_rewrites(spark: SparkSession, prefix: str, info: EdgeInfo, layout: AdjListType | str) -> None:
+    """After a crash: complete or drop the rewrites of a layout that were under way. Nobody may be rewriting it meanwhile."""
+    store = Store(spark)
+    for path, is_dir, _ in store.list(paths.layout_folder(prefix, info, AdjListType(layout))):
+        if is_dir and path.rsplit("/", 1)[1].startswith(".rewrite-part"):
+            _finish(store, prefix, path.rstrip("/") + "/")
 
 
 class GraphWriter:

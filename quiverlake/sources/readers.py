@@ -1,15 +1,16 @@
 """Readers of an archive's vertices, edges and whole graphs; everything they return is a lazy DataFrame.
 
 Frames have the columns vid, or src and dst, and properties by their names; edge frames have eid if asked for. Only the property groups that hold
-asked-for columns are opened. Groups of vertices are joined on their id. Groups of edges have no key of their own:
-a row is told by its part, chunk and place in the file, for other formats than Parquet by reading each chunk by itself.
+asked-for columns are opened. Several groups are read side by side, chunk by chunk, without a shuffle (see `aligned`). Where that can't be, groups of vertices
+are joined on their id and groups of edges, which have no key of their own, by part, chunk and place in the file; formats other than
+Parquet don't tell the place, so their chunks are then read one by one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ from pyspark.sql.window import Window as W
 from ..plans import paths
 from ..plans.info import EdgeInfo, GraphInfo, PropertyGroup, VertexInfo, load_graph_info
 from ..plans.types import DST, EID, LABELS, SRC, VID, AdjListType, FileType, plain_names
-from ..session import Store
+from ..session import POOL, Store
+from .aligned import Chunks, Files, can_align, side_by_side
 from .control import read_value
 
 PLACE = ("__part", "__chunk", "__row")
@@ -53,6 +55,24 @@ class VertexReader:
     def read_vertex_chunk_number(self) -> int:
         return paths.chunk_count(self.read_vertices_number(), self.info.chunk_size)
 
+    def _side_by_side(self, groups: Sequence[PropertyGroup], chunks: range | None = None, columns: Sequence[str] | None = None, labels: bool = False) -> DataFrame | None:
+        """Several groups, and the label columns, read chunk by chunk; None where the files can't be read that way."""
+        chunks = range(self.read_vertex_chunk_number()) if chunks is None else chunks
+        if len(groups) + labels < 2 or not chunks:
+            return None
+        asked = [[n for n in g.names if columns is None or n in columns] for g in groups]
+        files = [Files(paths.vertex_group(self.prefix, self.info, g), g.file_type, tuple((n, n) for n in names)) for g, names in zip(groups, asked, strict=True)]
+        files[0] = Files(files[0].folder, files[0].kind, (("*VertexIndex", VID), *files[0].columns))
+        fields = [T.StructField(VID, T.LongType())]
+        fields += [T.StructField(p.name, p.spark_type()) for g, names in zip(groups, asked, strict=True) for p in g.properties if p.name in names]
+        if labels:
+            files.append(Files(paths.label_folder(self.prefix, self.info), FileType.PARQUET, tuple((x, f"__{x}") for x in self.info.labels)))
+            fields += [T.StructField(f"__{x}", T.BooleanType()) for x in self.info.labels]
+        if not can_align(files, T.StructType(fields), f"{files[0].folder}chunk{chunks.start}"):
+            return None
+        which = Chunks((None,), (len(chunks),), (0,), self.info.chunk_size, chunks.start)
+        return side_by_side(self.spark, files, which, T.StructType(fields))
+
     def _load(self, g: PropertyGroup, path: str | list[str]) -> DataFrame:
         if g.file_type in (FileType.CSV, FileType.JSON):
             first = path if isinstance(path, str) else path[0]
@@ -78,16 +98,21 @@ class VertexReader:
         return self._load(g, paths.vertex_group(self.prefix, self.info, g))
 
     def read_multiple_vertex_property_groups(self, groups: Sequence[PropertyGroup]) -> DataFrame:
-        """Joined on the vertex id, which is kept once."""
+        """The id is kept once."""
         if not groups:
             raise ValueError("no property group")
-        return reduce(lambda a, b: a.join(b, VID), [self.read_vertex_property_group(g) for g in groups])
+        for g in groups:
+            self._check(g)
+        side = self._side_by_side(groups)
+        return side if side is not None else reduce(lambda a, b: a.join(b, VID), [self.read_vertex_property_group(g) for g in groups])
 
     def read_all_vertex_property_groups(self, columns: Iterable[str] | None = None) -> DataFrame:
         """All groups; with columns, those columns and the id, from the groups that hold them alone."""
         if columns is not None and not (columns := list(columns)):
             return self.ids()
-        df = self.read_multiple_vertex_property_groups(self.info.groups_of(columns))
+        groups = self.info.groups_of(columns)
+        df = self._side_by_side(groups, None, columns)
+        df = self.read_multiple_vertex_property_groups(groups) if df is None else df
         return df if columns is None else df.select(VID, *columns)
 
     def ids(self) -> DataFrame:
@@ -136,13 +161,33 @@ class VertexReader:
 
     def read_vertex_with_labels(self, columns: Iterable[str] | None = None) -> DataFrame:
         """Properties with labels, or the plain frame for a type without labels."""
-        df = self.read_all_vertex_property_groups(columns)
-        return df.join(self.read_vertex_labels(), VID, "left") if self.info.labels else df
+        columns = None if columns is None else list(columns)
+        if not self.info.labels:
+            return self.read_all_vertex_property_groups(columns)
+        side = None if columns == [] else self._side_by_side(self.info.groups_of(columns), None, columns, True)
+        if side is None:
+            return self.read_all_vertex_property_groups(columns).join(self.read_vertex_labels(), VID, "left")
+        names = [p.name for g in self.info.groups_of(None) for p in g.properties] if columns is None else columns
+        held = F.array_compact(F.array(*[F.when(F.col(f"`__{x}`"), F.lit(x)) for x in self.info.labels])).alias(LABELS)
+        return side.select(VID, *[F.col(f"`{n}`") for n in names], held)
 
     def scan(self, columns: Iterable[str] | None = None, limit: int | None = None) -> DataFrame:
-        """In order of ids, at most limit rows."""
-        df = self.read_all_vertex_property_groups(columns).orderBy(VID)
-        return df if limit is None else df.limit(limit)
+        """In order of ids, at most limit rows; with a limit only the chunks that hold the first rows are opened."""
+        if limit is None:
+            return self.read_all_vertex_property_groups(columns).orderBy(VID)
+        return self.row_range(0, limit, columns).orderBy(VID)
+
+    def read_chunks(self, chunks: Iterable[int], columns: Iterable[str] | None = None) -> DataFrame:
+        """The vertices of some chunks; the others' files aren't opened."""
+        columns, wanted = None if columns is None else list(columns), sorted(set(chunks))
+        groups = self.info.groups_of(columns)
+        if not wanted:
+            return self.read_all_vertex_property_groups(columns).limit(0)
+        if wanted[0] < 0 or wanted[-1] >= self.read_vertex_chunk_number():
+            raise IndexError(f"{self.info.type} has {self.read_vertex_chunk_number()} chunks")
+        frames = [self._load(g, [paths.vertex_chunk(self.prefix, self.info, g, c) for c in wanted]) for g in groups]
+        df = reduce(lambda a, b: a.join(b, VID), frames)
+        return df if columns is None else df.select(VID, *columns)
 
     def row_range(self, first: int, end: int, columns: Iterable[str] | None = None) -> DataFrame:
         """Vertices with first <= vid < end, from the chunks that hold them."""
@@ -152,8 +197,11 @@ class VertexReader:
             return self.read_all_vertex_property_groups(columns).limit(0)
         chunks = range(first // self.info.chunk_size, (end - 1) // self.info.chunk_size + 1)
         columns = None if columns is None else list(columns)
-        frames = [self._load(g, [paths.vertex_chunk(self.prefix, self.info, g, c) for c in chunks]) for g in self.info.groups_of(columns)]
-        df = reduce(lambda a, b: a.join(b, VID), frames).where((F.col(VID) >= first) & (F.col(VID) < end))
+        if columns == []:
+            return self.spark.range(first, end).withColumnRenamed("id", VID)
+        df = self._side_by_side(self.info.groups_of(columns), chunks, columns)
+        df = self.read_chunks(chunks, columns) if df is None else df
+        df = df.where((F.col(VID) >= first) & (F.col(VID) < end))
         return df if columns is None else df.select(VID, *columns)
 
     def _check(self, g: PropertyGroup) -> None:
@@ -199,16 +247,19 @@ class EdgeReader:
     def edge_counts(self) -> list[int]:
         """Of every vertex chunk; the small files are read side by side."""
         files = [paths.edge_count(self.prefix, self.info, self.layout, p) for p in range(self.read_vertex_chunk_number())]
-        with ThreadPoolExecutor(16) as pool:
-            return list(pool.map(lambda f: read_value(self.spark, f), files))
+        store = Store(self.spark)
+        return list(POOL.map(lambda f: read_value(self.spark, f, store), files))
 
-    def _parts(self, part: int | None) -> list[int]:
+    def _parts(self, part: int | Iterable[int] | None) -> list[int]:
+        """The vertex chunks of a number, some numbers or all, that have edges."""
         n = self.read_vertex_chunk_number()
-        if part is not None and not 0 <= part < n:
+        asked = None if part is None else [part] if isinstance(part, int) else sorted(set(part))
+        if asked is not None and any(not 0 <= p < n for p in asked):
             raise IndexError(f"{self.info.name} has {n} vertex chunks")
-        if part is not None:
-            return [part] if self.read_edges_number(part) else []
-        return [p for p, edges in enumerate(self.edge_counts()) if edges]
+        if asked is not None and len(asked) < 16:
+            return [p for p in asked if self.read_edges_number(p)]
+        keep = None if asked is None else set(asked)
+        return [p for p, edges in enumerate(self.edge_counts()) if edges and (keep is None or p in keep)]
 
     # chunks
 
@@ -224,8 +275,9 @@ class EdgeReader:
             first = files if isinstance(files, str) else files[0]
             names = [_reserved_name(self.spark, kind, first, e) for e in ("SrcIndex", "DstIndex")]
         schema = schema_of(groups or (), *names) if text else None
-        part = F.regexp_extract(F.col("_metadata.file_path"), r"part(\d+)/chunk\d+$", 1).cast("long")
-        chunk = F.regexp_extract(F.col("_metadata.file_path"), r"chunk(\d+)$", 1).cast("long")
+        path = F.col("_metadata.file_path")
+        part = F.substring_index(F.substring_index(path, "/part", -1), "/", 1).cast("long")
+        chunk = F.substring_index(path, "/chunk", -1).cast("long")
         if not placed:
             return plain_names(read_files(self.spark, kind, files, schema))
         if kind is FileType.PARQUET:
@@ -249,6 +301,7 @@ class EdgeReader:
             return df if placed else df.drop(*PLACE)
         if kind is FileType.PARQUET or not placed:
             return self._load(kind, [folder_of(p) for p in parts], groups, placed)
+        # no format but Parquet tells a row's place
         return self._load(kind, [f for p in parts for f in self._chunks(folder_of(p))], groups, placed)
 
     def _group_frame(self, g: PropertyGroup, part: int | None, placed: bool) -> DataFrame:
@@ -259,18 +312,21 @@ class EdgeReader:
     def _adj_frame(self, part: int | None, placed: bool) -> DataFrame:
         return self._all(self.adj.file_type, lambda p: paths.adj_part(self.prefix, self.info, self.layout, p), None, part, placed)
 
-    def _numbered(self, df: DataFrame, part: int | None, add_index: bool) -> DataFrame:
+    #: Vertex chunks up to which their starts (two longs each) are broadcast.
+    MAX_BROADCAST_PARTS = 1_000_000
+
+    def _starts(self) -> list[int]:
+        """For each part how many edges the parts before it have."""
+        return [0, *accumulate(self.edge_counts())][:-1]
+
+    def _numbered(self, df: DataFrame, part: int | Iterable[int] | None, add_index: bool) -> DataFrame:
         """eid: the row's place in its part after all edges of the parts before, or its place in the one part."""
         if add_index:
             size = F.lit(self.info.chunk_size).cast("long")
             eid = F.col(PLACE[1]) * size + F.col(PLACE[2])
-            if part is None:
-                before, starts = 0, []
-                for p, edges in enumerate(self.edge_counts()):
-                    starts.append((p, before))
-                    before += edges
-                table = self.spark.createDataFrame(starts, f"{PLACE[0]} long, __before long")  # a row a vertex chunk
-                df = df.join(table, PLACE[0])
+            if not isinstance(part, int):
+                table = self.spark.createDataFrame(list(enumerate(self._starts())), f"{PLACE[0]} long, __before long")  # a row a vertex chunk
+                df = df.join(F.broadcast(table) if self.read_vertex_chunk_number() <= self.MAX_BROADCAST_PARTS else table, PLACE[0])
                 eid = eid + F.col("__before")
             df = df.withColumn(EID, eid).drop("__before")
         return df.drop(*PLACE)
@@ -287,6 +343,22 @@ class EdgeReader:
             df = plain_names(read_files(self.spark, self.adj.file_type, path)).coalesce(1).withColumn("__row", F.monotonically_increasing_id())
         return df.select((F.col("__row") + part * size).alias(VID), F.col("offset").cast("long").alias("offset"))
 
+    def read_offsets(self) -> DataFrame:
+        """(chunk, vid, offset) of all vertex chunks, read as one folder."""
+        if not self.layout.ordered:
+            raise ValueError("only ordered layouts have offsets")
+        n = self.read_vertex_chunk_number()
+        if not n:
+            return self.spark.createDataFrame([], f"chunk long, {VID} long, offset long")
+        if self.adj.file_type is not FileType.PARQUET:  # no other format tells a row's place
+            frames = [self.read_offset(p).select(F.lit(p).cast("long").alias("chunk"), VID, "offset") for p in range(n)]
+            return reduce(DataFrame.unionByName, frames)
+        df = read_files(self.spark, FileType.PARQUET, paths.offset_folder(self.prefix, self.info, self.layout))
+        chunk = F.substring_index(F.col("_metadata.file_path"), "/chunk", -1).cast("long")
+        df = plain_names(df.select("*", chunk.alias("chunk"), F.col("_metadata.row_index").alias("__row")))
+        at = F.col("chunk") * self.info.aligned_chunk(self.layout) + F.col("__row")
+        return df.select("chunk", at.alias(VID), F.col("offset").cast("long").alias("offset"))
+
     def offset_range(self, vid: int) -> tuple[int, int]:
         """First and end place of a vertex's edges in its part."""
         n, size = self.read_vertices_number(), self.info.aligned_chunk(self.layout)
@@ -313,15 +385,62 @@ class EdgeReader:
     def read_edge_property_group(self, g: PropertyGroup, add_index: bool = True) -> DataFrame:
         return self._numbered(self._group_frame(g, None, add_index), None, add_index)
 
-    def _groups(self, groups: Sequence[PropertyGroup], part: int | None, add_index: bool, adjacency: bool) -> DataFrame:
+    def _groups(self, groups: Sequence[PropertyGroup], part: int | Iterable[int] | None, add_index: bool, adjacency: bool, columns: Sequence[str] | None = None) -> DataFrame:
         if not groups and not adjacency:
             raise ValueError("no property group")
+        if any(g not in self.info.property_groups for g in groups):
+            raise KeyError(f"{self.info.name} has no such property group")
         single = len(groups) + adjacency == 1
+        if not single and (side := self._side_by_side(groups, part, add_index, adjacency, columns)) is not None:
+            return side
         frames = [self._adj_frame(part, add_index or not single)] if adjacency else []
         frames += [self._group_frame(g, part, add_index or not single) for g in groups]
         df = reduce(lambda a, b: a.join(b, list(PLACE)), frames)
         return self._numbered(df, part, add_index)
 
+    def _files(self, groups: Sequence[PropertyGroup], adjacency: bool, columns: Sequence[str] | None) -> tuple[list[Files], T.StructType]:
+        files, fields = [], []
+        if adjacency:
+            files.append(Files(paths.adj_folder(self.prefix, self.info, self.layout), self.adj.file_type, (("*SrcIndex", SRC), ("*DstIndex", DST))))
+            fields += [T.StructField(SRC, T.LongType()), T.StructField(DST, T.LongType())]
+        for g in groups:
+            kept = [p for p in g.properties if columns is None or p.name in columns]
+            files.append(Files(paths.edge_group(self.prefix, self.info, self.layout, g), g.file_type, tuple((p.name, p.name) for p in kept)))
+            fields += [T.StructField(p.name, p.spark_type()) for p in kept]
+        return files, T.StructType(fields)
+
+    def _side_by_side(self, groups, part, add_index: bool, adjacency: bool, columns: Sequence[str] | None) -> DataFrame | None:
+        """The groups read chunk by chunk; None where the files can't be read that way."""
+        files, schema = self._files(groups, adjacency, columns)
+        local = isinstance(part, int)
+        if local:
+            n = self._parts(part) and self.read_edges_number(part)
+            parts, edges, starts = ([part], [n], [0]) if n else ([], [], [])
+        else:
+            counts = self.edge_counts()
+            keep = range(len(counts)) if part is None else sorted(set(part))
+            if any(not 0 <= p < len(counts) for p in keep):
+                raise IndexError(f"{self.info.name} has {len(counts)} vertex chunks")
+            before = [0, *accumulate(counts)]
+            parts = [p for p in keep if counts[p]]
+            edges, starts = [counts[p] for p in parts], [before[p] for p in parts]
+        if not parts or not can_align(files, schema, f"{files[0].folder}part{parts[0]}/chunk0"):
+            return None
+        which = Chunks(tuple(parts), tuple(paths.chunk_count(n, self.info.chunk_size) for n in edges), tuple(starts), self.info.chunk_size)
+        return side_by_side(self.spark, files, which, schema, EID if add_index else None)
+
+    def _some_chunks(self, part: int, chunks: range, columns: Sequence[str] | None) -> DataFrame:
+        """Edges of some chunks of one part, with eid as their place in the part; no other file is opened."""
+        groups = self.info.groups_of(columns) if columns is None or columns else []
+        files, schema = self._files(groups, True, columns)
+        if can_align(files, schema, f"{files[0].folder}part{part}/chunk{chunks.start}"):
+            which = Chunks((part,), (len(chunks),), (0,), self.info.chunk_size, chunks.start)
+            return side_by_side(self.spark, files, which, schema, EID)
+        frames = [self._load(self.adj.file_type, [paths.adj_chunk(self.prefix, self.info, self.layout, part, c) for c in chunks], None, True)]
+        for g in groups:
+            frames.append(self._load(g.file_type, [paths.edge_group_chunk(self.prefix, self.info, self.layout, g, part, c) for c in chunks], [g], True))
+        return self._numbered(reduce(lambda a, b: a.join(b, list(PLACE)), frames), part, True)
+
     def read_multiple_edge_property_groups_for_vertex_chunk(self, groups: Sequence[PropertyGroup], part: int, add_index: bool = True) -> DataFrame:
         return self._groups(groups, part, add_index, False)
 
@@ -337,39 +456,67 @@ class EdgeReader:
     def read_edges_for_vertex_chunk(self, part: int, add_index: bool = True, columns: Iterable[str] | None = None) -> DataFrame:
         return self._edges(part, add_index, columns)
 
-    def read_edges(self, add_index: bool = True, columns: Iterable[str] | None = None) -> DataFrame:
-        """Adjacency with properties; with columns, only from the groups that hold them."""
-        return self._edges(None, add_index, columns)
+    def read_edges(self, add_index: bool = True, columns: Iterable[str] | None = None, parts: Iterable[int] | None = None) -> DataFrame:
+        """Adjacency with properties; with columns, only from the groups that hold them; with parts, only of those vertex chunks."""
+        return self._edges(None if parts is None else list(parts), add_index, columns)
 
-    def _edges(self, part: int | None, add_index: bool, columns: Iterable[str] | None) -> DataFrame:
+    def _edges(self, part: int | list[int] | None, add_index: bool, columns: Iterable[str] | None) -> DataFrame:
         columns = None if columns is None else list(columns)
         groups = self.info.groups_of(columns) if columns is None or columns else []
-        df = self._groups(groups, part, add_index, True)
+        df = self._groups(groups, part, add_index, True, columns)
         return df if columns is None else df.select(SRC, DST, *([EID] if add_index else []), *columns)
 
     def edges_of(self, vid: int, columns: Iterable[str] | None = None, limit: int | None = None) -> DataFrame:
-        """Edges of one aligned vertex in stored order; an id out of range is an error. Only its vertex chunk is read."""
+        """Edges of one aligned vertex in stored order; an id out of range is an error.
+
+        In an ordered layout the offsets tell which chunks hold them, and no other file is opened; an unordered one reads the vertex chunk.
+        """
         n = self.read_vertices_number()
         if not 0 <= vid < n:
             raise IndexError(f"ids run from 0 to {n - 1}")
-        df = self.read_edges_for_vertex_chunk(vid // self.info.aligned_chunk(self.layout), True, columns)
-        df = df.where(F.col(self.aligned) == vid).orderBy(EID)
-        return df if limit is None else df.limit(limit)
+        part, columns = vid // self.info.aligned_chunk(self.layout), None if columns is None else list(columns)
+        if not self.layout.ordered:
+            df = self.read_edges_for_vertex_chunk(part, True, columns).where(F.col(self.aligned) == vid).orderBy(EID)
+            return df if limit is None else df.limit(limit)
+        first, end = self.offset_range(vid)
+        end = end if limit is None else min(end, first + limit)
+        if first >= end:
+            return self.read_edges_for_vertex_chunk(part, True, columns).limit(0)
+        size = self.info.chunk_size
+        df = self._some_chunks(part, range(first // size, (end - 1) // size + 1), columns)
+        df = df.where((F.col(EID) >= first) & (F.col(EID) < end)).orderBy(EID)
+        return df if columns is None else df.select(SRC, DST, EID, *columns)
+
+    def neighbors(self, vid: int, limit: int | None = None) -> DataFrame:
+        """Ids at the other end of one aligned vertex's edges, in stored order, which is ascending in an ordered layout."""
+        other = DST if self.layout.by_source else SRC
+        return self.edges_of(vid, [], limit).orderBy(EID).select(other)
 
     def scan(self, columns: Iterable[str] | None = (), limit: int | None = None, part: int | None = None) -> DataFrame:
-        """Edges in stored order; by default the topology alone."""
-        df = self._edges(part, True, columns).orderBy(EID)
-        return df if limit is None else df.limit(limit)
+        """Edges in stored order; by default the topology alone. With a limit only the first chunks that hold so many edges are opened."""
+        columns = None if columns is None else list(columns)
+        if limit is None:
+            return self._edges(part, True, columns).orderBy(EID)
+        left, frames = limit, []
+        counts = [self.read_edges_number(part)] if part is not None else self.edge_counts()
+        before = [0, *accumulate(counts)]
+        for i, n in enumerate(counts):
+            if left <= 0:
+                break
+            if n:
+                df = self._some_chunks(i if part is None else part, range(paths.chunk_count(min(left, n), self.info.chunk_size)), columns)
+                frames.append(df.withColumn(EID, F.col(EID) + before[i]))
+                left -= n
+        if not frames:
+            return self._edges(part, True, columns).limit(0)
+        df = reduce(DataFrame.unionByName, frames).orderBy(EID).limit(limit)
+        return df if columns is None else df.select(SRC, DST, EID, *columns)
 
     def degrees_from_offsets(self) -> DataFrame:
-        """(vid, degree) of the aligned type, from the offset tables alone."""
-        frames = [self.read_offset(p).withColumn("__part", F.lit(p)) for p in range(self.read_vertex_chunk_number())]
-        if not frames:
-            return self.spark.createDataFrame([], f"{VID} long, degree long")
-        df = reduce(DataFrame.unionByName, frames)
-        end = F.lead("offset").over(W.partitionBy("__part").orderBy(VID))
+        """(vid, degree) of the aligned type, from the offset tables alone; a vertex chunk's offsets meet in one task."""
+        end = F.lead("offset").over(W.partitionBy("chunk").orderBy(VID))
         n = self.read_vertices_number()
-        return df.select(VID, (end - F.col("offset")).alias("degree")).where(F.col("degree").isNotNull() & (F.col(VID) < n))
+        return self.read_offsets().select(VID, (end - F.col("offset")).alias("degree")).where(F.col("degree").isNotNull() & (F.col(VID) < n))
 
 
 class GraphReader:

@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,10 @@ from quiverlake.operators.index import DuplicateKey, IndexGenerator, MissingEnd,
 from quiverlake.operators.transform import GraphTransformer
 from quiverlake.plans import paths
 from quiverlake.plans.info import AdjList, EdgeInfo, GraphInfo, Property, PropertyGroup, VertexInfo
-from quiverlake.plans.types import LABELS, AdjListType, Reserved
+from quiverlake.plans.types import LABELS, AdjListType, FileType, Reserved
 from quiverlake.session import Store
-from quiverlake.sinks.writers import EdgesBuilder, EdgeWriter, GraphWriter, ValidateLevel, VertexWriter, VerticesBuilder, WriteMode, rewrite_edge_partition
+from quiverlake.sinks.chunks import write_chunks
+from quiverlake.sinks.writers import EdgesBuilder, EdgeWriter, GraphWriter, ValidateLevel, VertexWriter, VerticesBuilder, WriteMode, finish_rewrites, rewrite_edge_partition
 from quiverlake.sources.control import read_value, write_value
 from quiverlake.sources.readers import EdgeReader, GraphReader, VertexReader
 
@@ -28,16 +30,31 @@ def frames(spark, n=45, m=200):
     return v, e
 
 
+MADE = {}
+
+
 def written(spark, tmp_path, kind="parquet", **options):
-    g = graph(kind, f"file://{tmp_path}/", **options)
+    """An archive in tmp_path; one like it that was written before is copied."""
+    g, key = graph(kind, f"file://{tmp_path}/", **options), (kind, tuple(options.items()))
     v, e = frames(spark)
+    if key in MADE:
+        shutil.copytree(MADE[key], tmp_path, dirs_exist_ok=True)
+        return g, v, e
     w = GraphWriter()
     w.put_vertex_data("p", v, "id")
     w.put_edge_data(("p", "k", "p"), e)
     w.write_with_graph_info(spark, g, g.prefix)
+    MADE[key] = tmp_path.with_name(tmp_path.name + "-kept")
+    shutil.copytree(tmp_path, MADE[key])
     return g, v, e
 
 
+@pytest.fixture(scope="module")
+def shared(spark, tmp_path_factory):
+    """One archive for the tests that only read."""
+    return written(spark, tmp_path_factory.mktemp("archive"))
+
+
 @pytest.mark.parametrize("kind", ["parquet", "orc", "csv", "json"])
 def test_round_trip(spark, tmp_path, kind):
     g, v, e = written(spark, tmp_path, kind)
@@ -54,8 +71,8 @@ def test_round_trip(spark, tmp_path, kind):
         assert DatasetValidator(spark, g, strict=True).validate() == []
 
 
-def test_chunks_and_counts(spark, tmp_path):
-    g, _, e = written(spark, tmp_path)
+def test_chunks_and_counts(spark, shared):
+    g, _, e = shared
     vi, ei = g.vertices[0], g.edges[0]
     r = VertexReader(g.prefix, vi, spark)
     assert (r.read_vertices_number(), r.read_vertex_chunk_number()) == (45, 7)
@@ -82,8 +99,8 @@ def test_chunks_and_counts(spark, tmp_path):
     assert chunk.count() == 13 and chunk.columns == ["src", "dst"]
 
 
-def test_every_edge_read(spark, tmp_path):
-    g, _, _ = written(spark, tmp_path)
+def test_every_edge_read(spark, shared):
+    g, _, _ = shared
     ei = g.edges[0]
     er = EdgeReader(g.prefix, ei, "ordered_by_source", spark)
     a, b = ei.property_groups
@@ -104,11 +121,11 @@ def test_every_edge_read(spark, tmp_path):
         er.read_edges(True, ["none"])
 
 
-def test_pushdown_and_group_pruning(spark, tmp_path):
+def test_pushdown_and_group_pruning(spark, shared):
     from quiverlake.functions import predicate as P
     from quiverlake.plans.report import ReadRequest, report
 
-    g, _, _ = written(spark, tmp_path)
+    g, _, _ = shared
     r = VertexReader(g.prefix, g.vertices[0], spark)
     one = report(r.read_all_vertex_property_groups(["name"]))
     assert one.scans == 1 and "id" not in one.read_columns
@@ -119,8 +136,8 @@ def test_pushdown_and_group_pruning(spark, tmp_path):
     assert any("EqualTo(_qlSrcIndex,3)" in x for x in pushed.pushed_filters)
 
 
-def test_points_and_ranges(spark, tmp_path):
-    g, v, _ = written(spark, tmp_path)
+def test_points_and_ranges(spark, shared):
+    g, v, _ = shared
     r = VertexReader(g.prefix, g.vertices[0], spark)
     assert [x.vid for x in r.read_vertices([9, 3, 9, 30], ["id"]).collect()] == [3, 9, 30]
     for bad in ([45], [-1], [3, 99]):
@@ -253,6 +270,65 @@ def test_rewritten_partition(spark, tmp_path):
     assert sorted(map(str, after.where("src BETWEEN 7 AND 13").collect())) == sorted(map(str, keep.collect()))
 
 
+@pytest.mark.parametrize("step", [0, 1, 2, 4])
+def test_a_crash_in_a_rewrite_loses_no_edge(spark, tmp_path, monkeypatch, step):
+    """step: how many moves come before the crash; the first one commits the rewrite."""
+    info = EdgeInfo("p", "k", "p", 5, 4, 4, True, (AdjList("ordered_by_source"),), (PropertyGroup((Property("w", "int64"),)),))
+    prefix, layout = f"file://{tmp_path}/", AdjListType.ORDERED_BY_SOURCE
+    old = [(i % 8, i % 7, i) for i in range(24)]
+    EdgeWriter(prefix, info, layout, 8, spark.createDataFrame(old, "src long, dst long, w long")).write_edges()
+    new = [(1, 5, 100), *[r for r in old if r[0] < 4]]
+    done, rename = [], Store.rename
+
+    def failing(self, a, b):
+        if "staging" not in a:
+            if len(done) == step:
+                raise OSError("the power went out")
+            done.append(b)
+        rename(self, a, b)
+
+    with monkeypatch.context() as m:
+        m.setattr(Store, "rename", failing)
+        with pytest.raises(OSError):
+            rewrite_edge_partition(prefix, info, layout, 0, spark.createDataFrame(new, "src long, dst long, w long"), 8)
+    finish_rewrites(spark, prefix, info, layout)
+    got = sorted((r.src, r.dst, r.w) for r in EdgeReader(prefix, info, layout, spark).read_edges(False).collect())
+    assert got == sorted(old if step == 0 else [*new, *[r for r in old if r[0] >= 4]])
+    assert not [f for f in Store(spark).files(prefix) if "/.rewrite" in f or ".old-" in f]
+
+
+def test_chunks_of_a_union_are_one_file_each(spark, tmp_path):
+    """Both sides of the union are dealt by the keys already and are coalesced apart when the plan runs."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+        rows = spark.range(6000).select((F.col("id") % 120).alias("k"), F.col("id").alias("x"), F.repeat(F.lit("a"), 20).alias("t"))
+        both = rows.repartition("k").unionByName(rows.where("x % 9 = 0").withColumn("x", -F.col("x")).repartition("k"))
+        made = write_chunks(both, ["k"], ["x"], ["x", "t"], FileType.PARQUET, f"file://{tmp_path}/c", lambda k: f"file://{tmp_path}/c/chunk{k}", chunks=120)
+        assert made == [(k,) for k in range(120)] and len(Store(spark).files(f"file://{tmp_path}/c")) == 120
+        assert spark.read.parquet(f"file://{tmp_path}/c/chunk3").toPandas().x.is_monotonic_increasing
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_groups_are_read_without_a_shuffle(spark, shared):
+    g, _, e = shared
+    er = EdgeReader(g.prefix, g.edges[0], "ordered_by_source", spark)
+    vr = VertexReader(g.prefix, g.vertices[0], spark)
+    for df in (er.read_edges(), er.read_all_edge_property_groups(), vr.read_all_vertex_property_groups(["id", "name"]), vr.read_vertex_with_labels(["name"])):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+    want = sorted((r.a // 3, r.b // 3, r.w, r.t, r.n) for r in e.collect())
+    assert sorted((r.src, r.dst, r.w, r.t, r.n) for r in er.read_edges().collect()) == want
+    some = er.read_edges(True, ["t"], parts=[1, 4]).collect()
+    whole = {r.eid: (r.src, r.dst, r.t) for r in er.read_edges(True, ["t"]).collect()}
+    assert {r.eid: (r.src, r.dst, r.t) for r in some} == {k: v for k, v in whole.items() if v[0] // 7 in (1, 4)}
+    assert {(r.vid, r.name) for r in vr.read_chunks([1, 3], ["name"]).collect()} == {(r.vid, r.name) for r in vr.read_all_vertex_property_groups(["name"]).collect() if r.vid // 7 in (1, 3)}
+    assert [r.dst for r in er.neighbors(9).collect()] == sorted(b for a, b, *_ in want if a == 9)
+
+
 def test_control_files(spark, tmp_path):
     p = f"file://{tmp_path}/n"
     write_value(spark, p, 77)
