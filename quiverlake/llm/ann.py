@@ -3,7 +3,8 @@
 Vectors are scaled to length one, so that the squared distance is 2 - 2 x cosine, and projected with `dims` Gaussian (2-stable)
 directions: a squared projected distance over the true one is then chi-square with `dims` degrees of freedom. Projected
 neighbours are visited in order of projected distance and verified on the original vectors until the chi-square test holds: a vector nearer than the present k-th
-would have been projected inside the visited radius with probability `confidence`.
+would have been projected inside the visited radius with probability `confidence`. With 32 dimensions and a confidence of 0.93 the test
+leaves a third or less of vectors without any structure to be verified, and far fewer of vectors that have some (see the README for figures).
 
 The top of the kd-tree is fitted on a bounded sample (`sample` vectors a length) and cuts the space into at most `max_cells` cells; every
 vector is put in its cell, and a cell of many vectors (one that is very frequent, say) is split by a hash of the id into
@@ -11,9 +12,12 @@ blocks of about `block_rows`. A query first searches one block of its own cell,
 visits the blocks of those cells alone that the same test doesn't rule out. A block with many visits is dealt to several tasks.
 Nothing is capped: with fewer than k candidates found a query visits every block.
 
+Work: blocks are compared with all their queries at once, projected distances by one matrix product. The number of blocks that a query visits grows
+with the data unless cells are ruled out, which vectors without structure seldom allow.
+
 Defined cases: null ids and vectors, and vectors that are empty, zero or hold null or non-finite components, take no part; vectors
 are compared with those of equal length; rows with the query's id are never its candidates; repeated rows count once, and of a candidate id
-with several vectors the nearest counts; equal scores are ordered by id.
+with several vectors the nearest counts; equal scores are ordered by id. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -116,7 +120,7 @@ class Block:
         self.ids, self.raw = ids, rescaled(vectors)
         self.norm = np.sqrt((self.raw * self.raw).sum(axis=1))
         self.points = unit(self.raw) @ directions(vectors.shape[1], dims)
-        order, leaves, stack = [], [], [np.arange(len(ids))]
+        order, sizes, stack = [], [], [np.arange(len(ids))]
         while stack:
             rows = stack.pop()
             if len(rows) > leaf:
@@ -125,52 +129,63 @@ class Block:
                 half = np.argpartition(own[:, a], len(rows) // 2)
                 stack += [rows[half[len(rows) // 2 :]], rows[half[: len(rows) // 2]]]
             elif len(rows):
-                leaves.append((len(order), len(order) + len(rows)))
+                sizes.append(len(rows))
                 order.extend(rows.tolist())
         order = np.array(order, dtype=int)
         self.ids, self.raw, self.norm, self.points = self.ids[order], self.raw[order], self.norm[order], self.points[order]
-        self.leaves = np.array(leaves, dtype=int).reshape(-1, 2)
-        self.low = np.array([self.points[a:b].min(axis=0) for a, b in leaves]).reshape(-1, self.points.shape[1])
-        self.high = np.array([self.points[a:b].max(axis=0) for a, b in leaves]).reshape(-1, self.points.shape[1])
+        self.square = (self.points * self.points).sum(axis=1)
+        self.sizes = np.array(sizes, dtype=int)
+        cuts = np.split(self.points, np.cumsum(self.sizes)[:-1]) if sizes else []
+        self.low = np.array([c.min(axis=0) for c in cuts]).reshape(-1, dims)
+        self.high = np.array([c.max(axis=0) for c in cuts]).reshape(-1, dims)
+        self.verified = 0  # how many rows were compared on their original vectors
+
+    def search(self, own_ids, vectors, points, k: int, quantile: float, bounds, at_once: int = 128) -> list[tuple]:
+        """For each query the k best (scores, ids) of this block that may be better than its bound on the k-th squared distance."""
+        import numpy as np
 
-    def search(self, own_id, vector, point, k: int, quantile: float, bound: float):
-        """The k best (score, id) of this block that may be better than the bound on the k-th squared distance."""
+        out = []
+        for first in range(0, len(own_ids), at_once):
+            some = points[first : first + at_once]
+            gap = np.maximum(0, np.maximum(self.low[None] - some[:, None], some[:, None] - self.high[None]))
+            reach = (gap * gap).sum(axis=2)  # from each query to each leaf
+            projected = (some * some).sum(axis=1)[:, None] + self.square[None] - 2 * (some @ self.points.T)
+            for i in range(len(some)):
+                out.append(self._one(own_ids[first + i], vectors[first + i], reach[i], projected[i], k, quantile, bounds[first + i]))
+        return out
+
+    def _one(self, own_id, vector, reach, projected, k: int, quantile: float, kth: float):
         import numpy as np
 
-        gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
-        reach = (gap * gap).sum(axis=1)
-        order = np.argsort(reach, kind="stable")
-        norm = math.sqrt(float((vector * vector).sum()))
         best_s, best_i = np.zeros(0), self.ids[:0]
-        waiting_rows, waiting_d = np.zeros(0, dtype=int), np.zeros(0)
-        at, step, kth = 0, 2, bound
-        while at < len(order) or len(waiting_rows):
-            ahead = reach[order[at]] if at < len(order) else math.inf
-            if min(ahead, waiting_d.min() if len(waiting_d) else math.inf) >= quantile * kth:
-                break  # the test holds for all that is left
-            new = order[at : at + step]
-            at, step = at + step, step * 2
-            if len(new):
-                rows = np.concatenate([np.arange(a, b) for a, b in self.leaves[new]])
-                d = ((self.points[rows] - point) ** 2).sum(axis=1)
-                waiting_rows, waiting_d = np.concatenate([waiting_rows, rows]), np.concatenate([waiting_d, d])
-            radius = reach[order[at]] if at < len(order) else math.inf
-            ready = waiting_d <= min(radius, quantile * kth)  # no unseen vector is projected nearer
-            rows = waiting_rows[ready]
-            open_rows = ~ready & (waiting_d < quantile * kth)
-            waiting_rows, waiting_d = waiting_rows[open_rows], waiting_d[open_rows]
-            rows = rows[self.ids[rows] != own_id]
-            if len(rows):
-                s = (self.raw[rows] * vector).sum(axis=1) / (self.norm[rows] * norm)
-                ids = self.ids[rows]
-                best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, ids])
-                first = np.lexsort((best_i, -best_s))
-                best_s, best_i = best_s[first], best_i[first]
-                _, one = np.unique(best_i, return_index=True)
-                one = np.sort(one)[:k]
-                best_s, best_i = best_s[one], best_i[one]
-                if len(best_s) == k:
-                    kth = min(kth, max(0.0, 2 - 2 * float(best_s[-1])) + 1e-12)
+        if not len(self.ids):
+            return best_s, best_i
+        norm = math.sqrt(float((vector * vector).sum()))
+        rows = projected < quantile * kth
+        if not (reach < quantile * kth).all():
+            rows &= np.repeat(reach < quantile * kth, self.sizes)  # leaves that the test rules out
+        rows = np.nonzero(rows & (self.ids != own_id))[0]
+        order = rows[np.argsort(projected[rows], kind="stable")]
+        distance = projected[order]
+        at, step = 0, 8 * k
+        while at < len(order) and distance[at] < quantile * kth:  # else the test holds for all that is left
+            end = at + int(np.searchsorted(distance[at : at + step], quantile * kth))
+            rows, at, step = order[at:end], end, step * 2
+            self.verified += len(rows)
+            # a sum of its own for each row, so that equal vectors have equal scores
+            s = (self.raw[rows] * vector).sum(axis=1) / (self.norm[rows] * norm)
+            if len(best_s) == k:
+                rows, s = rows[s >= best_s[-1]], s[s >= best_s[-1]]
+                if not len(rows):
+                    continue
+            best_s, best_i = np.concatenate([best_s, s]), np.concatenate([best_i, self.ids[rows]])
+            sort = np.lexsort((best_i, -best_s))
+            best_s, best_i = best_s[sort], best_i[sort]
+            _, one = np.unique(best_i, return_index=True)
+            one = np.sort(one)[:k]
+            best_s, best_i = best_s[one], best_i[one]
+            if len(best_s) == k:
+                kth = min(kth, max(0.0, 2 - 2 * float(best_s[-1])) + 1e-12)
         return best_s, best_i
 
 
@@ -183,10 +198,13 @@ def valid_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "em
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 8, confidence: float = 0.999,
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", dims: int = 32, confidence: float = 0.93,
     sample: int = 8192, block_rows: int = 4096, max_cells: int = 4096, visits_per_task: int = 20_000,
 ) -> DataFrame:
-    """(query_id long, rank int, vec_id long, score double); is_query: a condition on column `id`."""
+    """(query_id long, rank int, vec_id long, score double); is_query: a condition on column `id`.
+
+    confidence and dims trade recall for work: a true neighbour is missed with a probability of at most 1 - confidence.
+    """
     quantile = chi_square_quantile(confidence, dims)
     spark = vectors.sparkSession
     valid = valid_vectors(vectors, id_col, vec_col)
@@ -194,18 +212,20 @@ def search(
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not totals:
         return empty
-    if sum(min(1, n) for n in totals.values()) > 256:
-        raise ValueError("more than 256 lengths of vectors")
-    spread = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for length, n in totals.items() for x in (length, min(1.0, 0.9 * sample / n))])
-    picked = valid.where(spread < rate[F.col("length")]).limit(sample * len(totals)).collect()
+    # only lengths with more than one block of vectors are cut into cells; the sample that the driver holds is bounded over all of them
+    large = {length: n for length, n in totals.items() if n > block_rows}
     trees = {}
-    for length, n in totals.items():
+    if large:
         import numpy as np
 
-        rows = np.array([r.v for r in picked if r.length == length], dtype=float).reshape(-1, length)
-        points = unit(rescaled(rows)) @ directions(length, dims)
-        trees[length] = Cells(points, min(max_cells, -(-n // block_rows), max(1, len(rows) // 2)))
+        each = max(512, min(sample, 8 * sample // len(large)))
+        spread = F.pmod(F.xxhash64(F.lit("ann"), "id"), F.lit(1 << 30)) / float(1 << 30)
+        rate = F.create_map(*[F.lit(x) for length, n in large.items() for x in (length, min(1.0, 0.9 * each / n))])
+        picked = valid.where(spread < rate[F.col("length")]).limit(each * len(large)).collect()
+        for length, n in large.items():
+            rows = np.array([r.v for r in picked if r.length == length], dtype=float).reshape(-1, length)
+            points = unit(rescaled(rows)) @ directions(length, dims)
+            trees[length] = Cells(points, min(max_cells, -(-n // block_rows), max(1, len(rows) // 2)))
     shared = spark.sparkContext.broadcast(trees)  # at most max_cells x dims bounds for each length
 
     def place(batches: Iterator):
@@ -217,6 +237,8 @@ def search(
             flat, offset = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy() - batch.column(1).offsets[0].as_py()
             cell = np.zeros(len(length), dtype=np.int32)
             for d in np.unique(length).tolist():
+                if d not in shared.value:
+                    continue  # one cell
                 at = np.nonzero(length == d)[0]
                 points = unit(rescaled(flat[offset[at][:, None] + np.arange(d)])) @ directions(d, dims)
                 cell[at] = shared.value[d].of(points)
@@ -242,8 +264,9 @@ def search(
             held = Block(data["id"].to_numpy(), vectors_.astype(float), dims)
             asked = rescaled(np.stack(queries["v"].to_numpy()).astype(float))
             points = unit(asked) @ directions(d, dims)
-            for i, (q, kth) in enumerate(zip(queries["id"].tolist(), queries["kth"].tolist(), strict=True)):
-                s, ids = held.search(q, asked[i], points[i], k, quantile, kth)
+            own, bounds = queries["id"].tolist(), queries["kth"].tolist()
+            best = held.search(own, asked, points, k, quantile, bounds)
+            for i, (q, kth, (s, ids)) in enumerate(zip(own, bounds, best, strict=True)):
                 now = max(0.0, 2 - 2 * float(s[-1])) + 1e-12 if len(s) == k else math.inf
                 rows.append((q, queries["v"].iloc[i] if with_vector else None, d, key[1], key[2], min(kth, now), ids.tolist(), s.tolist()))
         return pd.DataFrame(rows, columns=names)
@@ -262,7 +285,8 @@ def search(
             for r in batch.to_pylist():
                 d = r["length"]
                 point = (unit(rescaled(np.array([r["v"]]))) @ directions(d, dims))[0]
-                for c in np.nonzero(shared.value[d].distance(point) < quantile * r["kth"])[0].tolist():
+                near = np.nonzero(shared.value[d].distance(point) < quantile * r["kth"])[0].tolist() if d in shared.value else [0]
+                for c in near:
                     for p in range(parts.get((d, c), 0)):
                         if (c, p) != (r["cell"], r["part"]):
                             for column, x in zip(out, (r["query_id"], r["v"], d, c, p, r["kth"]), strict=True):
