@@ -1,17 +1,21 @@
 """Main-text extraction from HTML by minimum-cut labelling.
 
-A page is cut into blocks of text. A fixed linear classifier gives each block a score; the costs of calling it content or
-boilerplate become the capacities of its terminal edges. Neighbouring blocks, and neighbours under one parent, are joined by
-smoothness edges that grow with how much of the DOM path they share. The minimum cut (a maximum flow) separates content from boilerplate.
+A page is cut into blocks of text. A fixed linear classifier gives each block a score from its own text, and each element whose name or attributes say what
+it is for (an article, a menu, an advert, comments) a score of its own; the costs of calling a node content or boilerplate are the capacities of
+its terminal edges. Smoothness edges tie a block to the innermost such element around it, to the block before it by how much of the DOM path
+they share, and to the one before under the same parent. The minimum cut (a maximum flow) separates content from boilerplate.
 
-Blocks whose score outweighs all their smoothness edges are settled first, which changes no minimum cut; the flow runs on the rest.
+No cost settles a label alone: costs of blocks lie between about -4.5 and 2, ties between 1 and 2.6. So a one-word paragraph is content in an article and a
+fluent sentence is not in an advert, and a container goes the way of its blocks where these all speak against it. On a page of many nodes those whose
+cost outweighs all their edges are settled first, which changes no minimum cut, and the flow runs on the rest.
 
 Text of content blocks: character references decoded, white space turned into one space, trimmed, joined by newlines in page order.
 Scripts, styles, titles, hidden parts and markup are never text. Broken markup is read as browsers do where that matters here: unclosed
 elements end with their parent, a tag cut off at the end of the page is no text, comments and scripts that never end run to the end.
 
 Defined cases: a null or empty page has the empty text; a page of text without any markup is one block; repeated rows give equal results;
-null urls and ids pass through.
+null urls and ids pass through; very long pages and deep nesting are read whole, in time that grows with the page; kept columns that are named like a
+result (text, n_chars) are left out.
 """
 
 from __future__ import annotations
@@ -49,43 +53,54 @@ OTHER_PARTS = frozenset(
 ARTICLE_PARTS = frozenset("article articlebody body-text content entry main maintext post postbody story text".split())
 
 OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
-REST = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*>""")
+REST = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+#: How strongly an element that says what it is for holds its blocks, and how sure that is for each block it holds.
+ARTICLE, CALLED_ARTICLE, OTHER, OUTSIDE = 2.6, 1.6, -2.6, -1.2
+SURE = 0.8
+HIDDEN = "hidden"
+
+
 class Element:
-    __slots__ = ("tag", "parent", "depth", "lean", "number")
+    """mark: the innermost element at or above this one that says what it is for; says: what."""
+
+    __slots__ = ("tag", "parent", "depth", "number", "says", "mark")
 
-    def __init__(self, tag: str, parent: Element | None, lean: float, number: int):
-        self.tag, self.parent, self.lean, self.number = tag, parent, lean, number
+    def __init__(self, tag: str, parent: Element | None, says: float | str, number: int):
+        self.tag, self.parent, self.number, self.says = tag, parent, number, says
         self.depth = parent.depth + 1 if parent else 0
+        self.mark = self if says and not (parent and parent.mark and parent.mark.says == HIDDEN) else parent.mark if parent else None
 
 
-def _own_lean(tag: str, attributes: str, parent: Element | None) -> float:
-    """What an element says about the text in it: strongly negative for parts that are never the article."""
-    inside = parent.lean if parent else 0.0
-    if tag in ("nav", "footer", "aside", "form", "menu", "dialog", "search") or tag == "header" and inside <= 0:
-        return -8.0
-    lean = 4.0 if tag in ("article", "main") else 0.0
+def _says(tag: str, attributes: str, parent: Element | None) -> float | str:
+    """What an element's name and attributes say about the text in it."""
+    inside = parent.mark.says if parent and parent.mark else 0.0
+    found = 0.0
+    if tag in ("nav", "footer", "aside", "form", "menu", "dialog", "search") or tag == "header" and not (inside != HIDDEN and inside > 0):
+        found = OTHER
+    elif tag in ("article", "main"):
+        found = ARTICLE
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role", "data-role", "aria-label"):
                 words = {x.lower() for x in TOKEN.findall(value)} | {x.lower() for x in value.split()}
                 if words & OTHER_PARTS and not (words & {"article", "main"} and words <= ARTICLE_PARTS | {"header"}):
-                    return -8.0
-                if words & ARTICLE_PARTS:
-                    lean = max(lean, 2.5)
+                    found = OTHER
+                elif words & ARTICLE_PARTS and not found:
+                    found = CALLED_ARTICLE
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -8.0
-    return lean
+                return HIDDEN
+    return found
 
 
 class Piece:
     """A block: its text, the characters inside links, the element that holds it."""
 
-    __slots__ = ("raw", "linked", "holder", "path_lean")
+    __slots__ = ("raw", "linked", "holder")
 
     def __init__(self, holder: Element):
         self.raw: list[str] = []
@@ -97,13 +112,17 @@ def blocks_of(page: str) -> list[tuple[str, int, Element]]:
     """(text, linked characters, holder) of each block with text, in page order."""
     root = Element("#root", None, 0.0, 0)
     stack, out, piece = [root], [], Piece(root)
-    at, n, number, anchors = 0, len(page), 0, 0
+    at, n, number, anchors, odd_quotes = 0, len(page), 0, 0, 0
+    places: dict[str, list[int]] = {}  # for each name the places in the stack where it is open
+
+    def innermost(*names: str) -> int:
+        return max((places[x][-1] for x in names if places.get(x)), default=-1)
 
     def flush() -> None:
         nonlocal piece
         if piece.raw:
             text = " ".join("".join(piece.raw).split())
-            if text:
+            if text and not (piece.holder.mark and piece.holder.mark.says == HIDDEN):
                 out.append((text, piece.linked, piece.holder))
         piece = Piece(stack[-1])
 
@@ -116,7 +135,8 @@ def blocks_of(page: str) -> list[tuple[str, int, Element]]:
 
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
         piece.holder = stack[-1]
 
     while at < n:
@@ -140,8 +160,9 @@ def blocks_of(page: str) -> list[tuple[str, int, Element]]:
                 at = lt + 1
             continue
         name = tag[2].lower()
-        rest = REST.match(page, tag.end())
+        rest = REST.match(page, tag.end(), tag.end() + 65536) if odd_quotes < 100 else None
         end = rest.end() if rest else page.find(">", tag.end()) + 1
+        odd_quotes += rest is None  # a page full of them is read without regard to quotes
         if not end:
             break  # a tag that never ends
         attributes, at = page[tag.end() : end - 1], end
@@ -149,12 +170,7 @@ def blocks_of(page: str) -> list[tuple[str, int, Element]]:
             if name == "a":
                 anchors = max(0, anchors - 1)
             elif name in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        close(i)
-                        break
-                else:
-                    flush()
+                close(innermost(name)) if places.get(name) else flush()
             continue
         if name in RAW and not attributes.endswith("/"):
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|$)", re.I).search(page, at)
@@ -170,52 +186,45 @@ def blocks_of(page: str) -> list[tuple[str, int, Element]]:
         elif name == "a":
             anchors = 1
         elif name in BLOCK:
-            if name in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        close(i)
-                        break
-                    if stack[i].tag in ("td", "th", "table", "button"):
-                        break
+            if name in ENDS_P and innermost("p") > innermost("td", "th", "table", "button"):
+                close(innermost("p"))
             if name in ENDED_BY:
                 ended, between = ENDED_BY[name]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in between:
-                        break
-                    if stack[i].tag in ended:
-                        close(i)
-                        break
+                border = innermost(*between)
+                if innermost(*ended) > border:  # a row ends its open cell and the row around it
+                    close(min(i for i in map(innermost, ended) if i > border))
             flush()
             if name not in VOID:
                 number += 1
                 parent = stack[-1]
-                own = _own_lean(name, attributes, parent)
-                stack.append(Element(name, parent, min(own, parent.lean) if min(own, parent.lean) < 0 else max(own, parent.lean), number))
+                stack.append(Element(name, parent, _says(name, attributes, parent), number))
+                places.setdefault(name, []).append(len(stack) - 1)
                 piece.holder = stack[-1]
     flush()
     return out
 
 
 def score_of(text: str, linked: int, holder: Element) -> float:
-    """The classifier: positive for content. Its weights are fixed and its inputs are those of this one block."""
+    """The classifier: positive for content. Its weights are fixed and its inputs are the text of this one block and its own tag."""
     n, words = len(text), text.count(" ") + 1
-    density = linked / n
-    score = -1.2 + min(2.2, 0.55 * math.log1p(words)) - 3.5 * density + holder.lean
+    score = min(1.3, 0.55 * math.log1p(words) - 1.4) - 2.0 * linked / n
     if holder.tag in ("p", "blockquote", "pre"):
-        score += 0.9
-    elif holder.tag in ("h1", "h2", "h3", "h4"):
         score += 0.3
+    elif holder.tag in ("h1", "h2", "h3", "h4"):
+        score += 0.2
     elif holder.tag == "li":
         score -= 0.3
+    if words < 3 and holder.tag != "li":
+        score -= 0.8  # as buttons and labels
     if text[-1] in ".!?…\"”»":
-        score += 0.4
+        score += 0.3
     if "©" in text or "All rights reserved" in text:
-        score -= 2.5
+        score -= 2.0
     return score
 
 
 def _shared(a: Element, b: Element) -> float:
-    """Which part of the deeper of two DOM paths is shared, 0 to 1."""
+    """Which part of the deeper of two DOM paths is shared, 0 to 1. For neighbours the walk is as long as the tags between them."""
     deep = max(a.depth, b.depth, 1)
     while a is not b:
         if a.depth >= b.depth:
@@ -226,22 +235,41 @@ def _shared(a: Element, b: Element) -> float:
 
 
 def smoothness(holders: list[Element], weight: float = 0.8) -> dict[tuple[int, int], float]:
-    """Edges of adjacent blocks, and of each block with the next under the same parent element."""
+    """Edges of adjacent blocks, and of each block with the next under the same parent element; weak across the border of a marked element."""
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
+    alike = lambda i, j: 1.0 if holders[i].mark is holders[j].mark else 0.05
     for i, h in enumerate(holders):
         if i:
             near = _shared(holders[i - 1], h)
-            edges[(i - 1, i)] = weight * near * near
+            edges[(i - 1, i)] = weight * near * near * alike(i - 1, i)
         parent = h.parent.number if h.parent else h.number
         j = last.get(parent)
         if j is not None:
-            edges[(j, i)] = edges.get((j, i), 0.0) + weight / 2
+            edges[(j, i)] = edges.get((j, i), 0.0) + weight / 2 * alike(j, i)
         last[parent] = i
     return edges
 
 
-def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
+def graph_of(found: list[tuple[str, int, Element]]) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """Costs of all nodes, blocks first and then the elements that hold them, and the edges between them."""
+    holders = [b[2] for b in found]
+    scores, edges = [score_of(*b) for b in found], smoothness(holders)
+    article = any(h.mark is not None and h.mark.says == ARTICLE for h in holders)
+    nodes: dict[int, int] = {}
+    for i, h in enumerate(holders):
+        says = h.mark.says if h.mark is not None else OUTSIDE if article else 0.0
+        if says:
+            key = h.mark.number if h.mark is not None else -1
+            if key not in nodes:
+                nodes[key] = len(scores)
+                scores.append(0.0)
+            scores[nodes[key]] += SURE * says
+            edges[(i, nodes[key])] = abs(says)
+    return scores, edges
+
+
+def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float], settle_over: int = 256) -> list[bool]:
     """Which nodes are on the content side of a minimum cut of the terminal costs and the edges; ties go to boilerplate."""
     n = len(scores)
     near: list[dict[int, float]] = [{} for _ in range(n)]
@@ -249,58 +277,86 @@ def minimum_cut(scores: list[float], edges: dict[tuple[int, int], float]) -> lis
         near[i][j] = near[i].get(j, 0.0) + w
         near[j][i] = near[j].get(i, 0.0) + w
     lean, side = list(scores), [None] * n
-    pull = [sum(x.values()) for x in near]
-    todo = list(range(n))
-    while todo:
-        i = todo.pop()
-        if side[i] is None and abs(lean[i]) > pull[i]:
-            side[i] = lean[i] > 0
-            for j, w in near[i].items():
-                if side[j] is None:
-                    lean[j] += w if side[i] else -w
-                    pull[j] -= w
-                    todo.append(j)
+    if n > settle_over:
+        pull = [sum(x.values()) for x in near]
+        todo = list(range(n))
+        while todo:
+            i = todo.pop()
+            if side[i] is None and abs(lean[i]) > pull[i]:
+                side[i] = lean[i] > 0
+                for j, w in near[i].items():
+                    if side[j] is None:
+                        lean[j] += w if side[i] else -w
+                        pull[j] -= w
+                        todo.append(j)
     rest = [i for i in range(n) if side[i] is None]
     if rest:
-        content = _flow(rest, lean, near, side)
+        content = _content_side(rest, lean, near, side)
         for i in rest:
             side[i] = i in content
     return [bool(x) for x in side]
 
 
-def _flow(rest: list[int], lean: list[float], near: list[dict[int, float]], side: list) -> set[int]:
-    """Shortest augmenting paths from the content terminal to the boilerplate terminal over the unsettled nodes."""
-    source, sink = -1, -2
-    left: dict[int, dict[int, float]] = {source: {}, sink: {}}
+def _content_side(rest: list[int], lean: list[float], near: list[dict[int, float]], side: list) -> set[int]:
+    """The unsettled nodes on the content side, by a maximum flow: level by level from the content terminal, blocking flows in each."""
+    number = {i: x for x, i in enumerate(rest)}
+    source, sink = len(rest), len(rest) + 1
+    to: list[list[int]] = [[] for _ in range(len(rest) + 2)]
+    head, room = [], []
+
+    def edge(a: int, b: int, there: float, back: float) -> None:
+        to[a].append(len(head))
+        head.append(b)
+        room.append(there)
+        to[b].append(len(head))
+        head.append(a)
+        room.append(back)
+
     for i in rest:
-        own = left.setdefault(i, {})
+        x = number[i]
         if lean[i] > 0:
-            left[source][i], own[source] = lean[i], 0.0
+            edge(source, x, lean[i], 0.0)
         elif lean[i] < 0:
-            own[sink], left[sink][i] = -lean[i], 0.0
+            edge(x, sink, -lean[i], 0.0)
         for j, w in near[i].items():
-            if side[j] is None:
-                own[j] = w
+            if i < j and side[j] is None:
+                edge(x, number[j], w, w)
     tiny = 1e-12
     while True:
-        came, queue = {source: source}, [source]
+        level = {source: 0}
+        queue = [source]
         for x in queue:
-            if sink in came:
-                break
-            for y, room in left[x].items():
-                if room > tiny and y not in came:
-                    came[y] = x
-                    queue.append(y)
-        if sink not in came:
-            return {x for x in came if x >= 0}
-        path, y = [], sink
-        while y != source:
-            path.append((came[y], y))
-            y = came[y]
-        push = min(left[a][b] for a, b in path)
-        for a, b in path:
-            left[a][b] -= push
-            left[b][a] = left[b].get(a, 0.0) + push
+            for e in to[x]:
+                if room[e] > tiny and head[e] not in level:
+                    level[head[e]] = level[x] + 1
+                    queue.append(head[e])
+        if sink not in level:
+            return {rest[x] for x in level if x < source}
+        tried = [0] * len(to)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                push = min(room[e] for e in path)
+                for k, e in enumerate(path):
+                    room[e] -= push
+                    room[e ^ 1] += push
+                cut = next(k for k, e in enumerate(path) if room[e] <= tiny)
+                at = head[path[cut] ^ 1]
+                del path[cut:]
+            while tried[at] < len(to[at]):
+                e = to[at][tried[at]]
+                if room[e] > tiny and level.get(head[e], -1) == level[at] + 1:
+                    break
+                tried[at] += 1
+            else:
+                if at == source:
+                    break
+                at = head[path.pop() ^ 1]
+                tried[at] += 1
+                continue
+            path.append(e)
+            at = head[e]
 
 
 def main_text(page: str | None) -> str:
@@ -308,13 +364,14 @@ def main_text(page: str | None) -> str:
     found = blocks_of(page) if page else []
     if not found:
         return ""
-    keep = minimum_cut([score_of(*b) for b in found], smoothness([b[2] for b in found]))
-    return "\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    keep = minimum_cut(*graph_of(found))
+    return "\n".join(b[0] for b, k in zip(found, keep, strict=False) if k)
 
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """keep columns, text string and n_chars long (code points), for each row of pages."""
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").alias("__html"))
+    kept = [F.col(f"`{c}`") for c in keep if c.lower() not in ("text", "n_chars")]
+    rows = pages.select(*kept, F.col(f"`{html_col}`").alias("__html"))
 
     def run(batches: Iterator):
         import pyarrow as pa

@@ -46,6 +46,42 @@ def test_minimum_cut_against_enumeration():
         assert abs(cost(H.minimum_cut(scores, edges)) - best) < 1e-9
 
 
+def test_the_cut_decides(small):
+    """Neither the blocks' own signs nor containers alone give the articles: the cut changes labels on most given pages."""
+    import pyarrow.parquet as pq
+
+    pages = [p["html"] for p in pq.read_table(f"{small}/pages.parquet").to_pylist()]
+    changed = 0
+    for page in pages:
+        found = H.blocks_of(page)
+        scores, edges = H.graph_of(found)
+        kept = H.minimum_cut(scores, edges)
+        by_sign = "\n".join(b[0] for b, s in zip(found, scores, strict=False) if s > 0)
+        changed += by_sign != H.main_text(page)
+        assert kept == H.minimum_cut(scores, edges, 0)  # settling first changes nothing
+    assert changed >= 0.8 * len(pages)
+    # a fluent advert inside an article goes, a one-word paragraph stays, a container of links alone goes
+    body = f"<p>{LONG}</p><p>Er.</p><div class=ad>{LONG}</div><p>x</p><p>{LONG}</p>"
+    assert H.main_text(f"<article>{body}</article>") == "\n".join([LONG.strip(), "Er.", "x", LONG.strip()])
+    assert H.main_text("<article>" + "<p><a href=x>Read</a></p>" * 9 + "</article>") == ""
+    assert H.main_text(f"<div hidden><article><p>{LONG}</p></article></div><p>{LONG}</p>") == LONG.strip()
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    odd = ["<div>" * 200_000, "<div>" * 1000 + "</p>" * 200_000, "<ul><li>" + "<div>" * 1000 + "<li></li>" * 90_000, "<p \"'>x " * 100_000, "<div><p>x" * 80_000]
+    for page in odd:
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 30
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", f"<p>{LONG}", 3)], "page_id long, text string, html string, N_chars int")
+    assert H.extract(df, ["page_id", "text", "N_chars"]).collect() == [(1, LONG.strip(), len(LONG.strip()))]
+
+
 def test_query(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (1, "u", f"<article><p>{LONG}é𝒜", "x"), (2, "u", f"<article><p>{LONG}é𝒜", "x")], "page_id long, url string, html string, text string")
     rows = sorted(H.extract(df, ["page_id", "url"]).collect(), key=str)
