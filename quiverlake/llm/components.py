@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import lookup, materialize, release
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,24 +14,33 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     A round lets each node point to its smallest neighbour, if smaller, follows the pointers to their ends by doubling, and replaces
     both ends of each edge by what they point to. Edges inside a merged part vanish, so the table shrinks until it is
     empty. At least half of the nodes vanish in a round, so rounds, and doublings in one, grow with the logarithm of the component. Each round is cut off with a
-    checkpoint. Minimum and duplicates are pre-aggregated, so a node with very many links makes no large group.
+    checkpoint, and checkpoints of rounds before are deleted. Minimum and duplicates are pre-aggregated and pointers are looked up in slots, so neither a node
+    with very many links nor a very large component makes a large group.
     """
     live = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     roots = None
     while not live.isEmpty():
-        ends = live.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"))
-        point = ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.other").alias("root")).select("node", F.least("node", "root").alias("root"))
-        point = materialize(point)
+        pair = lambda x, y: F.struct(F.col(x).alias("node"), F.col(y).alias("other"))
+        ends = live.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
+        point = materialize(ends.groupBy("node").agg(F.min("other").alias("root")).select("node", F.least("node", "root").alias("root")))
         settled = False
         while not settled:  # pointers double their reach until each ends at a local minimum
-            further = point.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            reach = materialize(point.join(further, "root").select("node", "root", "next"))
-            settled = reach.where("next <> root").isEmpty()
-            point = reach.select("node", F.col("next").alias("root"))
-        step = point.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        roots = point if roots is None else roots.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-        roots = materialize(roots)
-        pa, pb = point.select(F.col("node").alias("a"), F.col("root").alias("ra")), point.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = live.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        live = materialize(live)
+            further = point.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+            reach = materialize(lookup(point, "root", further, "left"))
+            settled = reach.where("next IS NOT NULL").isEmpty()
+            if settled:
+                release(reach)
+            else:
+                old, point = point, materialize(reach.select("node", F.coalesce("next", "root").alias("root")))
+                release(old, reach)
+        step = point.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+        if roots is None:
+            grown = materialize(point.select("node", "root"))
+        else:
+            grown = materialize(lookup(roots, "root", step, "left").select("node", F.coalesce("next", "root").alias("root")))
+        ra, rb = point.select(F.col("node").alias("a"), F.col("root").alias("ra")), point.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        both = lookup(lookup(live, "a", ra), "b", rb).where("ra <> rb")
+        left = materialize(both.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        release(live, point, roots)
+        live, roots = left, grown
     return roots if roots is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))

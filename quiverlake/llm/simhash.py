@@ -10,7 +10,8 @@ group of near copies never meets in one task; a task emits a spanning forest of
 
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero, which is linked like any other; fewer words
 than a shingle make one shingle; repeated rows and ids have equal fingerprints; a null id never names a component unless
-all its members are null; an empty table gives an empty result.
+all its members are null; an empty table gives an empty result; very long texts are hashed whole, a slice of shingles at a time; other columns, whatever
+their names, play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, text_bytes
+from .common import fresh, lookup, materialize, others, release, text_bytes
 from .components import connected_components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -68,7 +69,7 @@ def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", shingle: int = 4, seed: int = 42) -> DataFrame:
     """docs without its text but with one more column `out`: the fingerprint's bits as a long."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).alias("__text"))
+    kept = docs.select(*others(docs, text_col, out), F.col(f"`{text_col}`").alias("__text"))
 
     def run(batches: Iterator):
         import numpy as np
@@ -197,29 +198,44 @@ def links(distinct: DataFrame, fp: str = "fp", distance: int = 4, block: int = 2
 def _placed(rows: DataFrame, least, distance: int) -> DataFrame:
     """(fp, chosen): for each distinct fingerprint of rows, the smallest `least` of all rows in its component."""
     distinct = materialize(rows.groupBy("fp").agg(F.min(least).alias("least")))
-    roots = connected_components(links(distinct, "fp", distance)).select(F.col("node").alias("fp"), "root")
-    placed = materialize(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    roots = connected_components(links(distinct, "fp", distance))
+    placed = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    placed = materialize(placed)
+    release(distinct, roots)
     named = placed.groupBy("root").agg(F.min("least").alias("chosen"))
-    return placed.join(named, "root").select("fp", "chosen")
+    return lookup(placed.select("fp", "root"), "root", named).select("fp", "chosen")
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
     """(id_col, fp long, component): one row per row of docs; component is the smallest id that links reach."""
-    rows = materialize(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, "fp", shingle, seed))
-    placed = _placed(rows, F.col(id_col), distance)
-    return rows.join(placed, "fp").select(id_col, "fp", F.col("chosen").alias("component"))
+    rows = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("__text")), "__text", "fp", shingle, seed))
+    placed = _placed(rows, F.col("id"), distance)
+    return lookup(rows, "fp", placed).select(F.col("id").alias(id_col), "fp", F.col("chosen").alias("component"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, seed: int = 42, max_broadcast_rows: int = 1_000_000
+) -> DataFrame:
     """docs with one row of each component: that of the smallest id, nulls last; of rows that repeat id and text, one stays.
 
-    The columns are those of docs. Rows are named by id and a hash of the text, so repeated ids with different texts are told apart.
+    The columns are those of docs. Rows are named by id and 128 bits of hashes of the text, so repeated ids with different texts are told apart. Only
+    names to drop (and names that repeat, of which one row stays) are joined to the texts: broadcast up to max_broadcast_rows, about 40 bytes each, so that texts
+    stay where they are; beyond that texts are dealt once.
     """
-    text_hash = F.xxhash64(F.col(text_col))
-    rows = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), text_hash.alias("th"), F.col(text_col)), text_col, "fp", shingle, seed))
-    placed = _placed(rows, F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("th")), distance)
+    names = lambda i, t: F.struct(i.alias("id"), F.xxhash64(t).alias("th"), F.xxhash64(F.lit("name"), t).alias("tg"))
+    rows = fingerprints(docs.select(names(F.col(id_col), F.col(text_col)).alias("name"), F.col(text_col).alias("__text")), "__text", "fp", shingle, seed)
+    rows = materialize(rows)
+    order = F.struct(F.col("name.id").isNull().alias("last"), F.col("name"))
+    placed = _placed(rows, order, distance)
+    decided = lookup(rows, "fp", placed).groupBy("name").agg((F.first("chosen")["name"] == F.col("name")).alias("stays"), F.count("*").alias("n"))
+    named = materialize(decided.where("NOT stays OR n > 1"))
+    release(rows)
+    sizes = {r.stays: r.n for r in named.groupBy("stays").agg(F.count("*").alias("n")).collect()}
     key = fresh(docs, "row_name")
-    name = lambda i, h: F.concat_ws(":", F.hex(h), i.cast("string"))
-    chosen = placed.select(name(F.col("chosen.id"), F.col("chosen.th")).alias(key)).distinct()
-    kept = docs.withColumn(key, name(F.col(id_col), text_hash)).join(chosen, key, "left_semi")
-    return kept.dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joinable = lambda df: F.broadcast(df) if sum(sizes.values()) <= max_broadcast_rows else df
+    marked = docs.withColumn(key, names(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    kept = marked.join(joinable(named.select(F.col("name").alias(key))), key, "left_anti")
+    if sizes.get(True):  # the rows that repeat are few or pre-aggregated before they are dealt
+        once = marked.join(joinable(named.where("stays").select(F.col("name").alias(key))), key, "left_semi")
+        kept = kept.unionByName(once.dropDuplicates([key]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
