@@ -7,7 +7,8 @@ Rules without a mandatory trigram scan every text. The index is over lower-cased
 
 Defined cases: a null text is empty; spans are in code points, end exclusive; matches of one rule never overlap, those of
 different rules may; equal spans of two rules are both reported, in the rules' order; rows with one id share their candidates,
-which only means more to verify, and are judged by their own text; null ids are an id of their own; unknown columns pass through.
+which only means more to verify, and are judged by their own text; null ids are an id of their own; unknown columns pass through, but for one that is named
+like the result, whose place the result takes; very long texts with very many matches are gathered in blocks, so time grows little faster than the text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import fresh, materialize, others, release
 
 try:  # the parser of the standard library moved in 3.11
     from re import _constants as sre_c
@@ -155,42 +156,89 @@ def candidates(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: s
     return true.groupBy("id").agg(F.collect_set("rule").alias("rules"))
 
 
+def _gather(items: Column, step, made: str, block: int = 64) -> tuple[Column, Column]:
+    """(where the last step ended, array of all that steps made): step(at, x) gives a struct of the next `at` and an array.
+
+    What steps make is appended inside blocks of items and blocks are joined at the end, as appending copies the array.
+    """
+    inner = f"struct<at:int,out:array<{made}>>"
+    outer = f"struct<at:int,out:array<array<{made}>>>"
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / block).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * block + 1, F.lit(block))
+    )
+
+    def inside(at: Column, some: Column) -> Column:
+        start = F.struct(at.alias("at"), F.array().alias("out")).cast(inner)
+
+        def add(acc, x):
+            one = step(acc["at"], x)
+            return F.struct(one["at"].alias("at"), F.concat(acc["out"], one["out"]).alias("out")).cast(inner)
+
+        return F.aggregate(some, start, add)
+
+    def join(acc, some):
+        # a lambda over one element, so that a block is worked through once
+        return F.transform(F.array(inside(acc["at"], some)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")).cast(outer))[0]
+
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(outer), join)
+    return whole["at"], F.flatten(whole["out"])
+
+
+SPAN = "struct<start:int,rule:int,end:int>"
+
+
 def _spans(text: Column, number: int, rule: Rule) -> Column:
     """array<struct(start, rule, end)> of one rule's counted matches: what stands between matches and the matches
     themselves, taken in turn, add up to positions."""
     pattern = F.lit(rule.pattern)
     between, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     value = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
-    kind = "struct<at:int,out:array<struct<start:int,rule:int,end:int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(kind)
+    pairs = F.arrays_zip(
+        F.transform(F.slice(between, 1, F.size(found)), F.length).alias("between"), F.transform(found, F.length).alias("found"), F.transform(value, F.length).alias("value")
+    )
+
+    def step(at, x):
+        first = at + x["between"]
+        span = F.array(F.struct(first.alias("start"), F.lit(number).alias("rule"), (first + x["found"]).alias("end")))
+        return F.struct((first + x["found"]).alias("at"), F.when(x["value"] >= rule.least, span).otherwise(F.array().cast(f"array<{SPAN}>")).alias("out"))
+
+    return _gather(pairs, step, SPAN)[1]
 
-    def add(acc, x):
-        first = acc["at"] + F.length(x["between"])
-        end = first + F.length(x["found"])
-        one = F.when(F.length(x["value"]) >= rule.least, F.array(F.struct(first.alias("start"), F.lit(number).alias("rule"), end.alias("end")))).otherwise(F.array())
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out")).cast(kind)
 
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("between"), found.alias("found"), value.alias("value"))
-    return F.aggregate(pairs, start, add)["out"]
+def _held(low: Column, rules, number: int) -> Column:
+    """Whether a text's own postings fulfil a rule's trigram query: the index of one document."""
+    found = F.lit(False)
+    for grams in sorted(map(sorted, trigram_query(rules[number].pattern))):
+        every = F.lit(True)
+        for g in grams:
+            every = every & F.contains(low, F.lit(g))
+        found = found | every
+    return found
 
 
-def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secrets", max_broadcast_rows: int = 200_000) -> DataFrame:
+def scan(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "text", out: str = "secrets", max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs with one more column `out`: array<struct(start, rule, end)> ordered by start, then rule (a number in `rules`).
 
-    Candidates are few narrow rows. They are written and counted; up to max_broadcast_rows they are broadcast, so that no text is
-    shuffled, and beyond that they are joined by a shuffle. Either way every document and candidate takes part.
+    Candidates are few narrow rows. They are written and counted; up to max_broadcast_rows they are broadcast to the texts. Were there more, each text's
+    own postings are intersected where the text is, which gives the same candidates. Either way no text is shuffled, and every document takes part.
     """
+    docs = docs.select(*others(docs, out))
     key, may = fresh(docs, "secret_id"), fresh(docs, "secret_rules")
     found = materialize(candidates(docs, rules, id_col, text_col).select(F.struct("id").alias(key), F.col("rules").alias(may)))
-    found = F.broadcast(found) if found.count() <= max_broadcast_rows else found
-    # a struct of the id joins null ids too
-    joined = docs.join(found, F.struct(F.col(f"`{id_col}`").alias("id")) == F.col(key), "left")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
+    few = found.count() <= max_broadcast_rows
+    if few:  # a struct of the id joins null ids too
+        joined = docs.join(F.broadcast(found), F.struct(F.col(f"`{id_col}`").alias("id")) == F.col(key), "left")
+    else:
+        release(found)
+        joined = docs.withColumn(key, F.lower(text)).withColumn(may, F.lit(None).cast("array<int>"))
+    empty = F.array().cast(f"array<{SPAN}>")
     parts = []
     for number, rule in enumerate(rules):
-        open_rule = trigram_query(rule.pattern) == {frozenset()}
-        test = text.rlike(rule.quick or rule.pattern) if open_rule else F.coalesce(F.array_contains(F.col(may), number), F.lit(False))
+        if trigram_query(rule.pattern) == {frozenset()}:
+            test = text.rlike(rule.quick or rule.pattern)
+        else:
+            test = F.coalesce(F.array_contains(F.col(may), number), F.lit(False)) if few else _held(F.col(key), rules, number)
         parts.append(F.when(test, _spans(text, number, rule)).otherwise(empty))
     return joined.withColumn(out, F.array_sort(F.concat(*parts))).drop(key, may)
 
@@ -208,15 +256,13 @@ def redact(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str =
     out = fresh(docs, "secrets")
     text = F.col(f"`{text_col}`")
     marks = F.array(*[F.lit(mark.format(r.kind)) for r in rules])
-    kind = "struct<at:int,parts:array<string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().alias("parts")).cast(kind)
 
-    def add(acc, s):
-        more = F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(marks, s["rule"] + 1))
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], more)).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts")).cast(kind)
+    def step(at, span):
+        more = F.array(F.substring(text, at + 1, span["start"] - at), F.element_at(marks, span["rule"] + 1))
+        return F.struct(F.greatest(at, span["end"]).alias("at"), F.when(span["start"] >= at, more).otherwise(F.array().cast("array<string>")).alias("out"))
 
-    clean = F.aggregate(F.col(out), start, add, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    end, pieces = _gather(F.col(out), step, "string")
+    clean = F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
     marked = scan(docs, rules, id_col, text_col, out)
     dirty = F.size(out) > 0
     changed = marked.withColumn(text_col, F.when(dirty, clean).otherwise(text))
