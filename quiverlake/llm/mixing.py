@@ -7,7 +7,8 @@ time. Documents are then filtered by their own hash: nothing is sorted, and no o
 
 Defined cases: a null or empty text has size 0; a null id has the hash of the empty text; rows with one id are taken together
 (they have one hash), so a source's taken words come as near to its target as whole ids allow; a source without words has
-target 0; a null source is a source, ordered last; an empty table gives an empty result.
+target 0; a null source is a source, ordered last; an empty table gives an empty result; texts are counted whole, however long; other columns play no part
+and pass through `apply_mix`, whose own columns get another name where theirs is taken.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import fresh, materialize
+from .common import fresh, lookup, materialize
 
 BITS, STEP = 48, 12
 
@@ -35,7 +36,7 @@ def hash_of(doc_id: Column) -> Column:
 def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """(source, source_size) with target: all sizes shared by weight, no target above `most` times its source's size.
 
-    Sources in order of code points, null last, have the weights in turn. Sorted by the share at which they are full, the full sources
+    One task sorts the sources, a narrow row each. Sources in order of code points, null last, have the weights in turn. Sorted by the share at which they are full, the full sources
     are a prefix; the rest share what these leave.
     """
     every = W.partitionBy()
@@ -54,8 +55,12 @@ def targets(sources: DataFrame, weights: Sequence[float] = (1, 2, 3), most: floa
 
 def _joined(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
     """left with the columns of right's row of the same source; right is broadcast only if its size was checked."""
-    right = right.withColumnRenamed("source", "of")
-    return left.join(F.broadcast(right) if small else right, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    if small:
+        right = right.withColumnRenamed("source", "of")
+        return left.join(F.broadcast(right), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    # a null source is a source; a struct of it joins, and slots split a large one
+    key = lambda df: df.withColumn("of", F.struct("source")).drop("source")
+    return lookup(key(left), "of", key(right)).withColumn("source", F.col("of.source")).drop("of")
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame, small: bool) -> DataFrame:
@@ -91,7 +96,7 @@ def plan(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """The narrow table that histograms are made of; the texts are read once for it."""
-    return materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("hash")))
+    return materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size_of(F.col(text_col)).alias("size"), hash_of(F.col(id_col)).alias("hash")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -110,7 +115,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     copies, taken, of, passes, below = (fresh(docs, x) for x in ("copies", "taken", "mix_source", "mix_passes", "mix_below"))
     aims, small = plan(_sized(docs, id_col, text_col, source_col), **options)
     aims = aims.select(F.col("source").alias(of), F.col("passes").alias(passes), F.col("below").alias(below))
-    joined = docs.join(F.broadcast(aims) if small else aims, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    if small:
+        joined = docs.join(F.broadcast(aims), F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    else:
+        keyed = docs.withColumn(of, F.struct(F.col(f"`{source_col}`").alias("source")))
+        joined = lookup(keyed, of, aims.withColumn(of, F.struct(F.col(of).alias("source"))))
     chosen = joined.withColumn(copies, F.col(passes) + (hash_of(F.col(f"`{id_col}`")) < F.col(below)).cast("long")).where(F.col(copies) > 0)
     return chosen.withColumn(taken, F.col(copies) * size_of(F.col(f"`{text_col}`"))).drop(of, passes, below)
 
