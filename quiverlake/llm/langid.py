@@ -3,10 +3,11 @@ the language of the smallest encoding wins; a narrow margin is flagged as reject
 
 Whole texts count: the normalised text (lower case, words joined by one space) is cut into blocks of `block` bytes, each
 encoded with every dictionary, and the sizes are added, so the dictionary matters throughout a long text. The dictionaries
-hold at most `dictionary_bytes` a language, from at most `samples` documents a language (documented bounds).
+hold at most `dictionary_bytes` a language, from about `samples` blocks of text a language, of at most `max_languages` languages (documented bounds).
 
 Defined cases: a null text, or one without any letter, is `und` with score 0; ties go to the language that is more frequent
-in the training rows, then to the smaller name; without training rows every text is `und`; rows with a null language are not learned from.
+in the training rows, then to the smaller name; without training rows every text is `und`; rows with a null language are not learned from; repeated rows
+are learned once and judged alike; very long texts are judged whole, block by block; id columns named like a result (lang, score, margin, rejected) are left out.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import fold
+from .common import fold, others
 
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -31,26 +33,30 @@ def normalise(text: str) -> bytes:
 
 def train(
     docs: DataFrame, keep=None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    samples: int = 400, sample_chars: int = 2_000, dictionary_bytes: int = 200_000,
+    samples: int = 400, block_chars: int = 2_000, dictionary_bytes: int = 200_000, max_languages: int = 256,
 ) -> dict[str, bytes]:
     """Language -> dictionary content, the most frequent language first.
 
-    Languages are counted over all training rows; then documents are chosen by a hash of id and text, at a rate that
-    yields about `samples` a language, and up to sample_chars from the middle of each are collected.
+    Texts count as blocks of block_chars characters, so every part of every training text is as likely to be learned as any other. Blocks are counted over all
+    training rows; then those are chosen by a hash of id, text and place, at a rate that yields about `samples` a language. At most twice as many
+    different ones a language are collected, of at most max_languages languages, the most frequent ones.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("id", 5) != 0 if keep is None else keep))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    blocks = F.greatest(F.ceil(F.length("text") / block_chars), F.lit(1))
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(blocks).alias("blocks")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    if not frequent:
         return {}
-    spread = F.pmod(F.xxhash64(F.lit("lang"), F.col("id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, samples / n))])
-    start = F.greatest(F.lit(1), ((F.length("text") - sample_chars) / 2).cast("int"))
-    picked = (
-        rows.where(spread < rate[F.col("lang")])
-        .select("lang", spread.alias("at"), F.substring(F.col("text"), start, F.lit(sample_chars)).alias("part"))
-        .collect()
-    )
+    counts = {r.lang: r.n for r in frequent}
+    rate = F.create_map(*[F.lit(x) for r in frequent for x in (r.lang, min(1.0, samples / r.blocks))])
+    spread = lambda i: F.pmod(F.xxhash64(F.lit("lang"), F.col("id"), F.col("hash"), i), F.lit(1 << 30)) / float(1 << 30)
+    named = rows.where(F.col("lang").isin(list(counts))).withColumn("rate", rate[F.col("lang")]).withColumn("hash", F.xxhash64("text"))
+    chosen = F.filter(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1), lambda i: spread(i) < F.col("rate"))
+    parts = named.select("id", "lang", "hash", "text", F.explode(chosen).alias("i"))
+    parts = parts.select("lang", spread(F.col("i")).alias("at"), F.substring("text", (F.col("i") * block_chars + 1).cast("int"), F.lit(block_chars)).alias("part"))
+    parts = parts.groupBy("lang", "part").agg(F.min("at").alias("at"))  # repeated rows count once
+    place = F.row_number().over(W.partitionBy("lang").orderBy("at", "part"))
+    picked = parts.withColumn("place", place).where(F.col("place") <= 2 * samples).collect()
     content: dict[str, bytes] = {}
     for lang in sorted(counts, key=lambda x: (-counts[x], x)):
         got, used, seen = [], 0, set()
@@ -103,7 +109,8 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_cols: list, text_col
 
     margin: by how much of its size the second smallest encoding is larger. rejected: no letter, or a margin under `narrow`.
     """
-    kept = docs.select(*id_cols, F.col(text_col).alias("__text"))
+    ids = docs.select(*id_cols, F.col(f"`{text_col}`").alias("__text"))
+    kept = ids.select(*others(ids, "lang", "score", "margin", "rejected"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(content)  # at most languages x dictionary_bytes
 

@@ -6,7 +6,7 @@ corpus is scored in a map-only pass. Labels are read only from training rows; id
 
 Defined cases: null and empty texts have all statistics 0 and get that leaf's score; without a training row every score is
 0.5; with one class only, the score is its smoothed prior; repeated rows get equal scores; null ids are scored but never
-trained on.
+trained on; very long texts are read whole; a column named like the score gives way to it, others pass through.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, fresh, labelled_sample, text_bytes
+from .common import bounded, fold, fresh, labelled_sample, others, text_bytes
 
 STATISTICS = (
     "log_bytes", "log_words", "mean_word", "upper", "lower", "digit", "space", "newline", "ascii_symbol", "non_ascii",
@@ -143,7 +143,7 @@ def fit_trees(x, y, rounds: int = 80, depth: int = 4, bins: int = 64, rate: floa
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, keep=None, id_col: str = "doc_id", text_col: str = "text", **options) -> Trees:
-    """Fit on at most max_rows labelled documents. keep: a condition on column `id` of the labels; by default crc32 mod 3 isn't 1."""
+    """Fit on at most max_rows labelled documents, of which only the statistics are collected. keep: a condition on column `id` of the labels; by default crc32 mod 3 isn't 1."""
     import numpy as np
 
     sample = labelled_sample(docs, labels, label, max_rows, fold("id", 3) != 1 if keep is None else keep, id_col, text_col)
@@ -156,14 +156,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     kind = sample.schema["id"].dataType.simpleString()
-    rows = sample.mapInArrow(count, f"id {kind}, y int, x array<double>").collect()
+    rows = bounded(sample.mapInArrow(count, f"id {kind}, y int, x array<double>"), max_rows).collect()
     rows.sort(key=lambda r: (str(r.id), r.x))  # the same rows in the same order give the same trees
     x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(STATISTICS))
     return fit_trees(x, np.array([r.y for r in rows], dtype=float), **options)
 
 
 def score(docs: DataFrame, model: Trees, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with one more column `out`: the likelihood of label 1, in 0 to 1."""
+    """docs with one more column `out`: the likelihood of label 1, in 0 to 1. A column of docs with that name gives way to it."""
+    docs = docs.select(*others(docs, out))
 
     def run(batches: Iterator):
         import numpy as np

@@ -9,7 +9,8 @@ telling if its document frequency, or that of one of its beginnings, among toxic
 row with at most one telling word has grade 1, with two or three grade 2, with more grade 3. Clean rows have grade 0.
 
 Defined cases: null and empty texts have no feature and get the severity of the intercept alone; without training rows, or
-with one class only, every severity is 0; repeated rows get equal results; rows with null ids are scored, not learned from.
+with one class only, every severity is 0; repeated rows get equal results; rows with null ids are scored, not learned from; very long texts are read whole; id columns named like a result
+(severity, grade, p_toxic, toxic) are left out.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, fold, labelled_sample, text_bytes
+from .common import WORD_BYTES, bounded, fold, labelled_sample, others, text_bytes
 
 
 def words_of(text: bytes | None) -> set[bytes]:
@@ -130,14 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
             bags = [b" ".join(sorted(words_of(t))) for t in text_bytes(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bags, pa.binary())], names=["y", "bag"])
 
-    rows = sorted(((bytes(r.bag), r.y) for r in sample.mapInArrow(distinct, "y int, bag binary").collect()))
+    made = bounded(sample.mapInArrow(distinct, "y int, bag binary"), max_rows)
+    rows = sorted((bytes(r.bag), r.y) for r in made.collect())
     return fit([r[0] for r in rows], [r[1] for r in rows], **options)
 
 
 def grade(docs: DataFrame, model: Ordinal, id_cols: list, text_col: str = "text") -> DataFrame:
     """id_cols, severity double (expected grade), grade int (the most likely), p_toxic double (grade over 0), toxic boolean
     (p_toxic of a half or more), for each row."""
-    kept = docs.select(*id_cols, F.col(text_col).alias("__text"))
+    ids = docs.select(*id_cols, F.col(f"`{text_col}`").alias("__text"))
+    kept = ids.select(*others(ids, "severity", "grade", "p_toxic", "toxic"))
 
     def run(batches: Iterator):
         import numpy as np
