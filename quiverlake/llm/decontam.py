@@ -7,11 +7,13 @@ window is hit.
 
 Defined cases: a null or empty text (document or item) has no words; an empty benchmark hits nothing; items that share a
 window are all reported; repeated item ids count once, null item ids are ignored; every document row is judged on its own, so
-repeated rows and null ids give one result each; columns the operator doesn't know pass through untouched.
+repeated rows and null ids give one result each; columns the operator doesn't know pass through untouched, but for one that is named like the result,
+whose place the result takes; very long texts are scanned whole, in overlapping slabs of words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, fresh, materialize
+from .common import WORD_BYTES, fresh, others
 
 RESULT = T.StructType(
     [
@@ -31,68 +33,124 @@ RESULT = T.StructType(
 
 
 class WindowIndex:
-    """The hash set: for each window length, sorted 64-bit hashes for the vectorised probe and exact keys to verify."""
+    """The hash set, in flat arrays: the items' normalised text, and for each window length the sorted 64-bit hashes of its windows with the place of
+    each in that text. A window is a range of bytes, as words are joined by one space; equal hashes are verified byte by byte.
+
+    A word of the benchmark takes its bytes, one more, and 16 bytes for its window.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for item, text in items:
+        import numpy as np
+
+        texts, starts, self.names, at = [], [], [], 0
+        places: dict[int, list] = {}
+        for item, text in sorted(set(items)):
             words = (text or "").encode("utf-8", "replace").translate(WORD_BYTES).split()
             if not words:
                 continue
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            size = min(n, len(ids))
-            known = self.windows.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                known.setdefault(tuple(ids[i : i + size]), set()).add(item)
-
-    def probes(self):
-        """Per length: sorted unsigned hashes of its windows, the hash's multipliers and the exact keys."""
-        import numpy as np
+            size = min(n, len(words))
+            first, end = _edges(words)
+            places.setdefault(size, []).append((at + first[: len(words) - size + 1], at + end[size - 1 :]))
+            texts.append(b" ".join(words))
+            starts.append(at)
+            self.names.append(item)
+            at += len(texts[-1]) + 1
+        self.text = b" ".join(texts)
+        self.starts = np.array(starts, dtype=np.int64)
+        self.windows = {}
+        for size, ranges in sorted(places.items()):
+            first, end = np.concatenate([r[0] for r in ranges]), np.concatenate([r[1] for r in ranges])
+            hashes = np.concatenate([_hashes(self.text[a[0] : b[-1]], a - a[0], b - a[0]) for a, b in ranges])
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], first[order], (end - first)[order].astype(np.int32)
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.text) + self.starts.nbytes + sum(a.nbytes for w in self.windows.values() for a in w)
+
+    #: Of a benchmark's text in UTF-8: a word and what parts it from the next take two bytes or more.
+    MOST_BYTES_A_BYTE = 1 + 20 / 2
+
+
+def _edges(words: list[bytes]):
+    """Where each word begins and ends in the words joined by one space."""
+    import numpy as np
+
+    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    end = np.cumsum(size + 1) - 1
+    return end - size, end
+
+
+_POWERS: dict[str, object] = {}
+BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
+
 
-        rng = np.random.default_rng(20240613)
-        factors = rng.integers(1, 2**63, size=max(self.windows, default=1), dtype=np.uint64) | np.uint64(1)
-        out = []
-        for size, known in sorted(self.windows.items()):
-            keys = np.array(list(known), dtype=np.uint64).reshape(len(known), size)
-            out.append((size, np.unique((keys * factors[:size]).sum(axis=1, dtype=np.uint64)), factors[:size], known))
-        return out
+def _powers(n: int):
+    """BASE to the 0, 1, ..., n-1 and its inverse likewise, modulo 2^64."""
+    import numpy as np
+
+    if len(_POWERS.get("up", ())) < n:
+        size = max(1024, 1 << (n - 1).bit_length())
+        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
+            made = np.full(size, base, dtype=np.uint64)
+            made[0] = 1
+            _POWERS[name] = np.cumprod(made, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def _hashes(text: bytes, first, end):
+    """A 64-bit hash of each range of the text that depends on its bytes alone, from one running sum over the text."""
+    import numpy as np
 
+    up, down = _powers(len(text) + 1)
+    scattered = (np.frombuffer(text, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    total = np.concatenate(([np.uint64(0)], np.cumsum((scattered ^ (scattered >> np.uint64(32))) * up[: len(text)], dtype=np.uint64)))
+    h = (total[end] - total[first]) * down[first]
+    return h ^ (h >> np.uint64(29))
 
-def _scanner(index):
-    """A function from a document's bytes to (number of words, item ids, merged hit intervals in words)."""
+
+def _scanner(index: WindowIndex, slab: int = 65_536):
+    """A function from a document's bytes to (number of words, item ids, merged hit intervals in words). Long texts are scanned in slabs of words
+    that overlap by a window."""
     import numpy as np
 
-    built = index.value
-    get, probes = built.vocabulary.get, built.probes()
-    shortest = min(built.windows, default=0)
+    sizes = sorted(index.windows)
+
+    def items_of(hashes, places, lengths, key, window: bytes) -> set[str]:
+        found = set()
+        for at in range(int(np.searchsorted(hashes, key, "left")), int(np.searchsorted(hashes, key, "right"))):
+            place = int(places[at])
+            if lengths[at] == len(window) and index.text[place : place + len(window)] == window:
+                found.add(index.names[int(np.searchsorted(index.starts, place, "right")) - 1])
+        return found
 
     def scan(text: bytes | None):
         words = text.translate(WORD_BYTES).split() if text else []
-        if not probes or len(words) < shortest:
-            return len(words), set(), []
-        ids = np.fromiter((get(w, 0) for w in words), dtype=np.uint64, count=len(words))
-        unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         items: set[str] = set()
-        delta = None
-        for size, hashes, factors, known in probes:
-            if size > len(words):
-                continue
-            starts = np.nonzero(unknown[size:] == unknown[:-size])[0]
-            if not len(starts):
-                continue
-            h = np.zeros(len(starts), dtype=np.uint64)
-            for j in range(size):
-                h += ids[starts + j] * factors[j]
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for s in starts[hashes[at] == h].tolist():
-                found = known.get(tuple(ids[s : s + size].tolist()))
-                if found:
-                    items |= found
-                    if delta is None:
-                        delta = np.zeros(len(words) + 1, dtype=np.int64)
-                    delta[s] += 1
-                    delta[s + size] -= 1
+        if not sizes or len(words) < sizes[0]:
+            return len(words), items, []
+        delta, known = None, {}
+        for base in range(0, len(words), slab):
+            some = words[base : base + slab + sizes[-1] - 1]
+            joined = b" ".join(some)
+            first, end = _edges(some)
+            for size in sizes:
+                if size > len(some):
+                    break
+                hashes, places, lengths = index.windows[size]
+                a, b = first[: len(some) - size + 1], end[size - 1 :]
+                h = _hashes(joined, a, b)
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                for s in np.nonzero(hashes[at] == h)[0].tolist():
+                    window = joined[a[s] : b[s]]
+                    if (size, window) not in known:  # a passage that a text repeats is looked up once
+                        known[size, window] = items_of(hashes, places, lengths, h[s], window)
+                        items |= known[size, window]
+                    if known[size, window]:
+                        if delta is None:
+                            delta = np.zeros(len(words) + 1, dtype=np.int64)
+                        delta[base + s] += 1
+                        delta[base + s + size] -= 1
         if delta is None:
             return len(words), items, []
         edge = np.diff(np.concatenate(([0], (np.cumsum(delta) > 0).astype(np.int8))))
@@ -119,47 +177,44 @@ def annotate(
     item_id: str = "item_id",
     item_text: str = "text",
     out: str = "decontam",
-    max_broadcast_bytes: int = 32_000_000,
+    max_index_bytes: int = 256_000_000,
 ) -> DataFrame:
     """docs with one more column `out`: struct(n_words, items array<string> sorted, hits array of [first, end) word spans).
 
-    The benchmark's size is measured first; beyond max_broadcast_bytes it is split by hash into parts of about that size
-    which are scanned one after the other with checkpoints between, so no broadcast outgrows the bound.
+    An index takes at most 11 times its items' bytes. A benchmark whose index could outgrow max_index_bytes is split by a hash of the items into parts that
+    can't (but one item is never split); each part is a broadcast of its own, and a task holds one at a time, for each batch of documents.
+    The documents are read once, however many parts there are.
     """
+    docs = docs.select(*others(docs, out))
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = -(-total // max_broadcast_bytes) or 1
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, RESULT)])
-    result = docs
+    parts = max(1, math.ceil(total * WindowIndex.MOST_BYTES_A_BYTE / max_index_bytes))
+    items = items.withColumn("p", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
+    indexes = []
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part).collect() if parts > 1 else items.collect()
-        index = spark.sparkContext.broadcast(WindowIndex([(r[0], r[1]) for r in rows], n))
-        seen = part > 0
-
-        def scan_batches(batches: Iterator, index=index, seen=seen):
-            import pyarrow as pa
-
-            kind = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.list_(pa.int64())))])
-            scan = _scanner(index)
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary())
-                before = batch.column(batch.num_columns - 1) if seen else None
-                made = []
+        rows = items.where(F.col("p") == part).collect()
+        indexes.append(spark.sparkContext.broadcast(WindowIndex([(r.i, r.t) for r in rows], n)))
+    place = docs.columns.index(next(c for c in docs.columns if c.lower() == text_col.lower()))
+
+    def scan_batches(batches: Iterator):
+        import pyarrow as pa
+
+        kind = pa.struct([("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("hits", pa.list_(pa.list_(pa.int64())))])
+        for batch in batches:
+            texts = batch.column(place).cast(pa.binary())
+            found: list[tuple] = [(0, set(), [])] * batch.num_rows
+            for index in indexes:
+                scan = _scanner(index.value)
                 for k in range(batch.num_rows):
-                    words, found, hits = scan(texts[k].as_py())
-                    if seen:
-                        old = before[k].as_py()
-                        found, hits = found | set(old["items"]), _merge([*map(tuple, old["hits"]), *hits])
-                    made.append({"n_words": words, "items": sorted(found), "hits": [list(h) for h in hits]})
-                columns = [batch.column(c) for c in range(batch.num_columns - seen)]
-                names = [f.name for f in batch.schema][: batch.num_columns - seen]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(made, kind)], names=[*names, out])
-
-        result = result.mapInArrow(scan_batches, schema)
-        if part < parts - 1:
-            result = materialize(result)
-    return result
+                    words, names, hits = scan(texts[k].as_py())
+                    found[k] = (words, found[k][1] | names, found[k][2] + hits)
+                if len(indexes) > 1:
+                    vars(index).pop("_value", None)  # it is read again from this machine's copy
+            made = [{"n_words": w, "items": sorted(names), "hits": _merge(hits)} for w, names, hits in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, kind)], names=[*[f.name for f in batch.schema], out])
+
+    return docs.mapInArrow(scan_batches, T.StructType([*docs.schema.fields, T.StructField(out, RESULT)]))
 
 
 def n_hit(out: str = "decontam"):

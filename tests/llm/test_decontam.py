@@ -38,13 +38,13 @@ BASE = ITEMS[0][1]
 TEXTS = [None, "", "...", BASE.upper(), f"before. {BASE}, after", "a short-one here, SHORT one", BASE + " " + BASE, "the quick brown fox jumps over the lazy dog", "É ü 𝒜 x y z a b c d e f", "é ü 𝒜 x y z a b c d e f g", "filler " * 60_000 + BASE + " tail" * 1000, "ghost words"]
 
 
-@pytest.mark.parametrize("bound", [32_000_000, 60])
+@pytest.mark.parametrize("bound", [256_000_000, 700])
 def test_against_brute_force(spark, docs_of, bound):
     bench = spark.createDataFrame([(*i, "x") for i in ITEMS], "item_id long, text string, source string")
     rng = random.Random(1)
     pool = words_of(" ".join(t for _, t in ITEMS if t))
     texts = TEXTS + [" ".join(rng.choice(pool) for _ in range(40)) for _ in range(80)] + [BASE]
-    out = D.annotate(docs_of(texts), bench, max_broadcast_bytes=bound).withColumn("n_hit", D.n_hit())
+    out = D.annotate(docs_of(texts), bench, max_index_bytes=bound).withColumn("n_hit", D.n_hit())
     rows = out.collect()
     assert len(rows) == len(texts)
     for r in rows:
@@ -53,6 +53,25 @@ def test_against_brute_force(spark, docs_of, bound):
         assert r.score == 7.0
 
 
+def test_index_is_as_small_as_its_bound_says():
+    rng = random.Random(3)
+    for length in (1, 6):
+        items = [(str(i), " ".join("".join(rng.choice("abcdefgh") for _ in range(length)) for _ in range(300))) for i in range(40)]
+        index = D.WindowIndex(items, 10)
+        assert index.nbytes <= D.WindowIndex.MOST_BYTES_A_BYTE * sum(len(t) + 1 for _, t in items)
+
+
+def test_slabs_and_clashing_names(spark, docs_of):
+    index = D.WindowIndex([(str(i), t) for i, t in ITEMS if i and t], 10)
+    text = "filler " * 37 + BASE + " x" * 50 + " short one " + BASE
+    want = D._scanner(index)(text.encode())
+    assert all(D._scanner(index, slab)(text.encode()) == want for slab in (11, 16, 64))
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = docs_of([BASE, "clean"]).withColumn("Decontam", F.lit(1))
+    out = D.annotate(df, bench)
+    assert [c for c in out.columns if c.lower() == "decontam"] == ["decontam"] and out.where(D.n_hit() > 0).count() == 1
+
+
 def test_removal(spark, docs_of):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = docs_of([(1, f"keep this. {BASE}! and this"), (2, "clean text"), (None, None), (1, f"keep this. {BASE}! and this")])
