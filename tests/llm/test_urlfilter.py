@@ -1,6 +1,5 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from quiverlake.llm import urlfilter as U
@@ -53,7 +52,18 @@ def test_cascade_is_exact_on_its_universe(spark):
     assert spark.createDataFrame([(None,)], "key string").where(c.contains(F.col("key"))).count() == 0
 
 
-def test_size_is_checked(spark):
-    keys = spark.range(1000).select(F.col("id").cast("string").alias("key"))
-    with pytest.raises(ValueError):
-        U.Cascade.build(keys, keys, max_bytes=100)
+def test_many_rules_in_parts_and_many_shapes(spark):
+    rng = random.Random(5)
+    rules = [(".".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))), "/" + "".join(rng.choice("xy") for _ in range(rng.randrange(90))), rng.choice(["block", "allow"])) for _ in range(300)]
+    urls = [f"http://{rng.choice('abc')}.{h}{p}{rng.choice(['', 'x', '?q'])}" for h, p, _ in rules] + ["http://c.c/" + "x" * 500]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in U.judge(df, rules, max_bytes=150).collect():  # three parts
+        assert (r.host, r.path, r.rule, r.verdict) == judge(urls[r.page_id], rules), urls[r.page_id]
+
+
+def test_cascade_that_is_cut_off_stays_exact(spark):
+    keys = [f"k{i}" for i in range(600)]
+    universe = spark.createDataFrame([(k,) for k in keys], "key string")
+    for levels in (1, 2):
+        c = U.Cascade.build(universe, universe.where("key LIKE '%7%'"), bits_per_key=2, hashes=1, max_levels=levels)
+        assert c.last and {r.key for r in universe.where(c.contains(F.col("key"))).collect()} == {k for k in keys if "7" in k}
