@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quiverlake.llm import decontam, mixing, quality, secrets, simhash
-from quiverlake.llm.common import materialize, read_table
+from quiverlake.llm.common import materialize, read_table, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,13 @@ ORACLE_SQL = None  # boosted trees and XXH64 are beyond SQL; tests hold run() ag
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table documents; between stages rows are written to the checkpoint folder and reread."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the whole table documents; between stages rows are written to the checkpoint folder and reread. What a stage
+    read is deleted when the next one's input is written."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if number == 0 else materialize(docs), sf_dir)
+        if number:
+            docs = materialize(docs)
+            release(before)
+            before = docs
+        docs = stage(spark, docs, sf_dir)
     return docs
