@@ -109,7 +109,7 @@ def _hashes(text: bytes, first, end):
     return h ^ (h >> np.uint64(29))
 
 
-def _scanner(index: WindowIndex, slab: int = 65_536):
+def _scanner(index: WindowIndex, slab: int = 16_384):
     """A function from a document's bytes to (number of words, item ids, merged hit intervals in words). Long texts are scanned in slabs of words
     that overlap by a window."""
     import numpy as np
