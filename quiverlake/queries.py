@@ -22,7 +22,7 @@ from .operators.validate import DatasetValidator
 from .plans.info import AdjList, EdgeInfo, GraphInfo, Property, PropertyGroup, VertexInfo
 from .plans.types import DST, EID, LABELS, SRC, VID, AdjListType, Direction
 from .session import materialize, shared_folder
-from .sinks.writers import EdgeWriter, GraphWriter, VertexWriter
+from .sinks.writers import EdgeWriter, GraphWriter, VertexWriter, VerticesBuilder
 from .sources.readers import EdgeReader, GraphReader, VertexReader
 
 VERTEX_SIZE, EDGE_SIZE = 8192, 65536
@@ -35,7 +35,7 @@ class Tables:
     _kept: dict[tuple[str, str], Tables] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir, self._v, self._e = spark, sf_dir, {}, {}
+        self.spark, self.dir, self._v, self._e, self._readers = spark, sf_dir, {}, {}, {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
@@ -135,10 +135,10 @@ class Tables:
         return g
 
     def vertex_reader(self, kind: str) -> VertexReader:
-        return VertexReader(self.stored.prefix, self.stored.vertex(kind), self.spark)
+        return self._readers.setdefault(kind, VertexReader(self.stored.prefix, self.stored.vertex(kind), self.spark))
 
     def edge_reader(self, layout: AdjListType = AdjListType.ORDERED_BY_SOURCE) -> EdgeReader:
-        return EdgeReader(self.stored.prefix, self.stored.edges[0], layout, self.spark)
+        return self._readers.setdefault(layout, EdgeReader(self.stored.prefix, self.stored.edges[0], layout, self.spark))
 
     def projection(self, name: str, kind: str, direction: Direction = Direction.UNDIRECTED) -> traverse.Projection:
         return traverse.materialize_csr(self.e(name), self.n(kind), direction)
@@ -460,11 +460,13 @@ def filter_chunks(t: Tables) -> DataFrame:
     return P.chunks_of(P.matching_ids(t.vertex_reader("order").read_all_vertex_property_groups(["o_totalprice"]), e), VERTEX_SIZE)
 
 
-@query("pv", "SELECT vid FROM pv WHERE p_size > 25 AND p_retailprice > 1000")
+@query("pv", "SELECT vid FROM pv WHERE p_size > 25 AND p_retailprice > 905")
 def filter_chained(t: Tables) -> DataFrame:
+    """The second filter reads only the chunks that the first one's ids fall in."""
     r = t.vertex_reader("part")
-    first = P.matching_ids(r.read_all_vertex_property_groups(["p_size"]), P.gt(P.prop("p_size"), 25))
-    return P.matching_ids(r.read_all_vertex_property_groups(["p_retailprice"]), P.gt(P.prop("p_retailprice"), 1000.0), first)
+    first = materialize(P.matching_ids(r.read_all_vertex_property_groups(["p_size"]), P.gt(P.prop("p_size"), 25)))
+    chunks = [c.chunk for c in P.chunks_of(first, VERTEX_SIZE).collect()]  # a row a vertex chunk
+    return P.matching_ids(r.read_chunks(chunks, ["p_retailprice"]), P.gt(P.prop("p_retailprice"), 905.0), first)
 
 
 # labels
@@ -767,3 +769,129 @@ def edge_iteration(t: Tables) -> DataFrame:
     """For each edge the next of its source."""
     return access.next_edges(t.edge_reader().read_all_adj_list()).select(SRC, DST, F.coalesce("next_eid", F.lit(-1)).alias("next_eid"), EID)
 
+
+
+# more reads of the archive
+
+
+@query("ce", f"SELECT src, dst FROM (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS place FROM ce WHERE src < {VERTEX_SIZE}) WHERE place <= {EDGE_SIZE}")
+def scan_adjacency_chunk(t: Tables) -> DataFrame:
+    return t.edge_reader().read_adj_list_chunk(0, 0)
+
+
+@query("ce", f"SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM ce WHERE src < {VERTEX_SIZE}")
+def scan_adjacency_of_vertex_chunk(t: Tables) -> DataFrame:
+    return t.edge_reader().read_adj_list_for_vertex_chunk(0)
+
+
+@query("ce", f"SELECT l_linenumber, l_returnflag FROM ce WHERE src < {VERTEX_SIZE}")
+def scan_edge_group_of_vertex_chunk(t: Tables) -> DataFrame:
+    r = t.edge_reader()
+    return r.read_edge_property_group_for_vertex_chunk(r.info.property_groups[1], 0, False)
+
+
+@query("ce", f"SELECT src, dst, l_quantity FROM ce WHERE src < {VERTEX_SIZE}")
+def scan_edges_of_some_vertex_chunks(t: Tables) -> DataFrame:
+    return t.edge_reader().read_edges(False, ["l_quantity"], parts=[0])
+
+
+@query("ce", "SELECT src, dst, l_quantity, row_number() OVER (ORDER BY src, dst, l_quantity, l_extendedprice) - 1 AS eid FROM ce ORDER BY src, dst, l_quantity, l_extendedprice LIMIT 40")
+def scan_edges_limit(t: Tables) -> DataFrame:
+    """The first 40 in stored order: the scan's own limit."""
+    return t.edge_reader().scan(["l_quantity"], 40)
+
+
+@query("ce", "SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS eid FROM ce ORDER BY src, dst LIMIT 40")
+def scan_topology_limit(t: Tables) -> DataFrame:
+    return t.edge_reader().scan((), 40)
+
+
+@query("ce", 'SELECT count(*) FILTER (WHERE src < 17) AS "first", count(*) FILTER (WHERE src <= 17) AS "end" FROM ce')
+def offset_range_of_vertex(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([t.edge_reader().offset_range(17)], "first long, end long")
+
+
+@query("ce", "SELECT dst FROM ce WHERE src = 17")
+def neighbors_of_vertex(t: Tables) -> DataFrame:
+    """From the chunks alone that the offsets name."""
+    return t.edge_reader().neighbors(17)
+
+
+@query("lb", "SELECT vid, lang IS NOT DISTINCT FROM 'en' AS has_label FROM lb WHERE vid = 3")
+def vertex_has_label(t: Tables) -> DataFrame:
+    return L.has_label(t.vertex_reader("document").read_vertex_labels(), 3, "en")
+
+
+@query("ce", "SELECT src, dst, l_quantity, l_linenumber FROM ce")
+def archive_of_small_chunks(t: Tables) -> DataFrame:
+    """Some 200 vertex chunks, written and read back: several groups, offsets and counts a chunk."""
+    n = t.n("order")
+    size = max(1, n // 200)
+    groups = (PropertyGroup((Property("l_quantity", "double"),)), PropertyGroup((Property("l_linenumber", "int32"),)))
+    info = EdgeInfo("order", "contains", "part", 64, size, size, True, (AdjList(AdjListType.ORDERED_BY_SOURCE),), groups)
+    prefix = f"{shared_folder(t.spark).rstrip('/')}/quiverlake-small-{uuid4().hex}/"
+    edges = t.e("contains").select(SRC, DST, "l_quantity", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+    EdgeWriter(prefix, info, AdjListType.ORDERED_BY_SOURCE, n, edges).write_edges()
+    return EdgeReader(prefix, info, AdjListType.ORDERED_BY_SOURCE, t.spark).read_edges(False)
+
+
+# more traversals and updates
+
+
+@query("ke", "SELECT vid FROM w", "k AS MATERIALIZED (SELECT DISTINCT src, dst FROM ke UNION SELECT dst, src FROM ke), w AS (SELECT 0::BIGINT AS vid UNION SELECT dst FROM w JOIN k ON src = vid)")
+def component_of_vertex(t: Tables) -> DataFrame:
+    return traverse.component(t.projection("copurchased", "part"), 0, 1 << 30).rows.select(VID)
+
+
+@query("ce", "SELECT ov.vid, count(src) AS degree FROM ov LEFT JOIN ce ON src = ov.vid GROUP BY ov.vid")
+def projection_merged(t: Tables) -> DataFrame:
+    """A projection of the base with the arrivals merged into it."""
+    base, new = _arrivals(t)
+    p = traverse.materialize_csr(base, max(t.n("order"), t.n("part"))).merge(new.select(SRC, DST))
+    return access.degrees(t.v("order"), p.edges)
+
+
+def _halves(t: Tables) -> delta.MutableDelta:
+    """Copurchases of even parts as a base, the others as a sealed delta."""
+    e, n = t.e("copurchased"), t.n("part")
+    path = f"{shared_folder(t.spark).rstrip('/')}/quiverlake-halves-{uuid4().hex}"
+    d = delta.MutableDelta(t.spark, path, delta.mutable_base(e.where("src % 2 = 0"), n), capacity=1 << 40)
+    d.append_all(e.where("src % 2 = 1"))
+    d.seal()
+    return d
+
+
+@query("ke", "SELECT vid, min(depth) AS depth FROM w GROUP BY vid", "w AS (SELECT 0::BIGINT AS vid, 0 AS depth UNION SELECT dst, depth + 1 FROM w JOIN (SELECT DISTINCT src, dst FROM ke) ON src = vid WHERE depth < 2)")
+def view_neighborhood(t: Tables) -> DataFrame:
+    """Two levels over a base and its delta."""
+    return _halves(t).view().neighborhood(0, 2, 1 << 30).rows
+
+
+@query("ke pv", "SELECT pv.vid, count(src) AS degree FROM pv LEFT JOIN ke ON src = pv.vid GROUP BY pv.vid")
+def delta_rebased(t: Tables) -> DataFrame:
+    """The delta absorbed by a new base: the view stays the same graph."""
+    d = _halves(t)
+    d.rebase(delta.mutable_base(t.e("copurchased"), t.n("part")), d.sealed)
+    return access.degrees(t.v("part"), d.view().projection.edges)
+
+
+@query("sv", "SELECT s_suppkey::VARCHAR AS id, vid FROM sv UNION ALL SELECT id, (SELECT max(vid) FROM sv) + row_number() OVER (ORDER BY id) FROM (SELECT c_custkey::VARCHAR AS id FROM customer EXCEPT SELECT s_suppkey::VARCHAR FROM supplier)")
+def delta_names_vertices(t: Tables) -> DataFrame:
+    """External ids that arrive are numbered after all known vertices."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/quiverlake-names-{uuid4().hex}"
+    none = t.spark.createDataFrame([], f"{SRC} long, {DST} long")
+    d = delta.MutableDelta(t.spark, path, delta.mutable_base(none, t.n("supplier")))
+    return d.vertex_ids(IndexGenerator.string_ids(t.v("supplier"), "s_suppkey"), t.table("customer").select(F.col("c_custkey").cast("string").alias("id")))
+
+
+@query("", "SELECT * FROM (VALUES (0, 'a', 1.5), (1, 'b', NULL), (2, NULL, 2.5)) x(vid, name, w)")
+def built_vertices(t: Tables) -> DataFrame:
+    """Added one by one and by column, dumped and read back."""
+    info = VertexInfo("thing", 2, (PropertyGroup((Property("name", "string"),)), PropertyGroup((Property("w", "double"),))))
+    prefix = f"{shared_folder(t.spark).rstrip('/')}/quiverlake-built-{uuid4().hex}/"
+    b = VerticesBuilder(info, prefix, t.spark)
+    for name in ("a", "b", None):
+        b.add_vertex(name=name)
+    b.add_property_column("w", [1.5, None, 2.5])
+    b.dump()
+    return VertexReader(prefix, info, t.spark).read_all_vertex_property_groups()
