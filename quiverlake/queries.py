@@ -755,6 +755,27 @@ def validated_dataset(t: Tables) -> DataFrame:
     return DatasetValidator(t.spark, t.stored, strict=True).report()
 
 
+@query(
+    "pv",
+    """SELECT code, chunk FROM (
+        SELECT vid // 100 AS chunk, count(*) AS want, count(*) FILTER (p_size <> 1) AS n,
+               min(vid) FILTER (p_size <> 1) AS lo, max(vid) FILTER (p_size <> 1) AS hi
+        FROM pv GROUP BY 1
+    ), (VALUES ('CHUNK_ROW_COUNT'), ('VERTEX_INDEX_SEQUENCE')) AS c(code)
+    WHERE n <> want AND (code = 'CHUNK_ROW_COUNT' OR lo <> chunk * 100 OR hi - lo + 1 <> n)
+    UNION ALL SELECT 'VERTEX_COUNT_MISMATCH', -1 WHERE EXISTS (SELECT * FROM part WHERE p_size = 1)""",
+)
+def validated_damage(t: Tables) -> DataFrame:
+    """Parts stored without those of size 1 under the count of all: the issues found, by chunk (-1: the whole type)."""
+    info = VertexInfo("part", 100, (PropertyGroup((Property("p_partkey", "int64", True),)),))
+    damaged = GraphInfo("damaged", (info,), (), f"{shared_folder(t.spark).rstrip('/')}/quiverlake-damaged-{uuid4().hex}/")
+    kept = t.v("part").where("p_size <> 1").select(VID, "p_partkey")
+    VertexWriter(damaged.prefix, info, kept, t.n("part")).write()
+    found = DatasetValidator(t.spark, damaged).report()
+    chunk = F.regexp_extract("path", r"chunk([0-9]+)$", 1)
+    return found.select("code", F.coalesce(F.nullif(chunk, F.lit("")).cast("long"), F.lit(-1).cast("long")).alias("chunk"))
+
+
 # aggregates that the operators are made of
 
 
