@@ -22,7 +22,9 @@ from .operators.validate import DatasetValidator
 from .plans.info import AdjList, EdgeInfo, GraphInfo, Property, PropertyGroup, VertexInfo
 from .plans.types import DST, EID, LABELS, SRC, VID, AdjListType, Direction
 from .session import materialize, shared_folder
+from .sinks.export import export_edges
 from .sinks.writers import EdgeWriter, GraphWriter, VertexWriter, VerticesBuilder
+from .sources.importers import Source, read_source
 from .sources.readers import EdgeReader, GraphReader, VertexReader
 
 VERTEX_SIZE, EDGE_SIZE = 8192, 65536
@@ -550,6 +552,15 @@ def export_edges_with_keys(t: Tables) -> DataFrame:
     return access.with_primary_keys(t.e("contains").select(SRC, DST, "l_linenumber"), t.ids("order"), t.ids("part"))
 
 
+@query("", "SELECT l_orderkey AS src_key, l_partkey AS dst_key, l_linenumber AS line FROM lineitem")
+def exported_and_imported(t: Tables) -> DataFrame:
+    """Edges written by a connector and read by another, as a graph database's would be."""
+    path = f"{shared_folder(t.spark).rstrip('/')}/quiverlake-export-{uuid4().hex}"
+    export_edges(t.e("contains").select(SRC, DST, "l_linenumber"), t.ids("order"), t.ids("part"), "orc", {"path": path, "compression": "zstd"})
+    columns = {"src_key": "src_key", "dst_key": "dst_key", "l_linenumber": "line"}
+    return read_source(t.spark, Source("", columns, format="orc", options={"path": path}))
+
+
 # projections and traversal
 
 HET = """g AS (SELECT 'customer' AS type, vid AS local, vid AS gid, c_custkey::VARCHAR AS id FROM cv

@@ -1,7 +1,8 @@
 """Imports: files of several formats to typed frames to a stored graph, by a config.
 
 A source is a file with its columns' new names; several sources of a type are put together by row identity of their
-columns (bag union). External databases come in as frames of Spark's own connectors through `frames`.
+columns (bag union). External databases are sources with a `format` and `options` of the connector (a graph database's, say: which labels,
+or a query in its language), or ready frames through `frames`.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ class Source:
     columns: dict[str, str]
     file_type: str = ""
     delimiter: str = ","
+    format: str = ""  # a connector's name; then path may be empty and file_type isn't used
+    options: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def name(self) -> str:
+        return self.path or self.format
 
     def kind(self) -> FileType:
         name = self.file_type or (self.path.rsplit(".", 1)[1] if "." in self.path.rsplit("/", 1)[-1] else "")
@@ -40,25 +47,30 @@ class Source:
     def issues(self) -> list[str]:
         out = []
         if len(self.delimiter) != 1:
-            out.append(f"{self.path}: the delimiter isn't one character")
+            out.append(f"{self.name}: the delimiter isn't one character")
         if len(set(self.columns.values())) < len(self.columns):
-            out.append(f"{self.path}: two columns get one name")
-        try:
-            self.kind()
-        except ValueError as e:
-            out.append(str(e))
+            out.append(f"{self.name}: two columns get one name")
+        if not self.format:
+            try:
+                self.kind()
+            except ValueError as e:
+                out.append(str(e))
         return out
 
 
 def read_source(spark: SparkSession, source: Source, types: dict[str, Property] | None = None) -> DataFrame:
     """The source's named columns, renamed and cast to the properties' types. JSON is one object a line."""
-    reader = spark.read
-    kind = source.kind()
-    if kind is FileType.CSV:
-        reader = reader.option("header", "true").option("sep", source.delimiter)
-    df = reader.format(kind.value).load(source.path)
+    if source.format:
+        reader = spark.read.format(source.format)
+    else:
+        kind = source.kind()
+        reader = spark.read.format(kind.value)
+        if kind is FileType.CSV:
+            reader = reader.option("header", "true").option("sep", source.delimiter)
+    reader = reader.options(**source.options)
+    df = reader.load(source.path) if source.path else reader.load()
     if lost := [c for c in source.columns if c not in df.columns]:
-        raise ValueError(f"{source.path} lacks the columns {lost}")
+        raise ValueError(f"{source.name} lacks the columns {lost}")
     out = []
     for old, new in source.columns.items():
         c = F.col(f"`{old}`")
@@ -130,7 +142,17 @@ class ImportConfig:
 
     @staticmethod
     def _sources(own: dict[str, Any]) -> list[Source]:
-        return [Source(s["path"], dict(s["columns"]), s.get("file_type") or "", s.get("delimiter") or ",") for s in own.get("sources") or ()]
+        return [
+            Source(
+                s["path"] if "format" not in s else s.get("path") or "",
+                dict(s["columns"]),
+                s.get("file_type") or "",
+                s.get("delimiter") or ",",
+                s.get("format") or "",
+                {k: str(x) for k, x in (s.get("options") or {}).items()},
+            )
+            for s in own.get("sources") or ()
+        ]
 
     def issues(self) -> list[str]:
         """Duplicates, keys, columns that aren't covered, unknown ends, beside the metadata's own rules."""
@@ -147,7 +169,7 @@ class ImportConfig:
             for s in self._sources(own):
                 out += s.issues()
                 if lost := {p.name for p in v.properties} - set(s.columns.values()):
-                    out.append(f"{v.type}: {s.path} doesn't give {sorted(lost)}")
+                    out.append(f"{v.type}: {s.name} doesn't give {sorted(lost)}")
         for own, e in zip(self.edges, info.edges, strict=True):
             ends = [own.get("src_prop"), own.get("dst_prop")]
             for end, prop in zip((e.src_type, e.dst_type), ends, strict=True):
