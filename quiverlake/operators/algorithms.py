@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.info import Property, PropertyGroup, VertexInfo
 from ..plans.types import DST, SRC, VID
-from ..session import materialize
+from ..session import materialize, release
 from .traverse import Projection, levels
 
 
@@ -22,7 +22,7 @@ def pagerank(e: DataFrame, count: int, damping: float = 0.85, rounds: int = 10,
     degree = e.groupBy(F.col(SRC).alias(VID)).agg(F.count("*").alias("degree"))
     ids = materialize(ids.join(degree, VID, "left"))
     links = materialize(e.groupBy(SRC, DST).agg(F.count("*").alias("times")))
-    ranks = ids.withColumn("rank", F.lit(1.0 / count if count else 0.0))
+    ranks, stored = ids.withColumn("rank", F.lit(1.0 / count if count else 0.0)), None
     for i in range(1, rounds + 1):
         given = ranks.where("degree IS NOT NULL").select(F.col(VID).alias(SRC), (F.col("rank") / F.col("degree")).alias("share"))
         got = links.join(given, SRC).groupBy(F.col(DST).alias(VID)).agg(F.sum(F.col("share") * F.col("times")).alias("got"))
@@ -30,6 +30,8 @@ def pagerank(e: DataFrame, count: int, damping: float = 0.85, rounds: int = 10,
         ranks = ranks.join(got, VID, "left").select(VID, "degree", (F.coalesce("got", F.lit(0.0)) * damping + (1 - damping) / count + own).alias("rank"))
         if i % keep_every == 0:
             ranks = materialize(ranks)
+            release(stored)
+            stored = ranks
     return ranks.select(VID, "rank")
 
 
@@ -44,18 +46,21 @@ def connected_components(e: DataFrame, count: int) -> DataFrame:
     names = spark.range(count).select(F.col("id").alias(VID), F.col("id").alias("component"))
     while not live.isEmpty():
         ends = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = materialize(ends.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
+        point = stored = materialize(ends.groupBy("a").agg(F.min("b").alias("to")).select("a", F.least("a", "to").alias("to")))
         settled = False
         while not settled:  # pointers double their reach until each ends at a local minimum
             further = point.select(F.col("a").alias("to"), F.col("to").alias("next"))
             reach = materialize(point.join(further, "to").select("a", "to", "next"))
+            release(stored)
             settled = reach.where("next <> to").isEmpty()
-            point = reach.select("a", F.col("next").alias("to"))
-        names = names.join(point.withColumnRenamed("a", "component"), "component", "left").select(VID, F.coalesce("to", "component").alias("component"))
+            point, stored = reach.select("a", F.col("next").alias("to")), reach
+        older, names = names, names.join(point.withColumnRenamed("a", "component"), "component", "left").select(VID, F.coalesce("to", "component").alias("component"))
         names = materialize(names)
+        release(older)
         ra, rb = point.select("a", F.col("to").alias("ra")), point.select(F.col("a").alias("b"), F.col("to").alias("rb"))
-        live = live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        older, live = live, live.join(ra, "a").join(rb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         live = materialize(live)
+        release(older, stored)
     least = names.groupBy("component").agg(F.min(VID).alias("least"))
     return names.join(least, "component").select(VID, F.col("least").alias("component"))
 

@@ -1,7 +1,8 @@
 """Updates: arrivals against a stored order, an append-only delta over an immutable base, views pinned to a sequence number.
 
 A delta is a folder of committed Parquet batches. A batch is written under a hidden name and renamed to `batch-<first>-<end>`, which
-commits it; what a crash leaves behind has no such name and is ignored. One writer appends at a time; readers pin a sequence number.
+commits it; what a crash leaves behind has no such name and is ignored. Each batch holds a record of its checksum, which recovery compares:
+a torn last batch is set aside, a damaged earlier one is an error. One writer appends at a time; readers pin a sequence number.
 """
 
 from __future__ import annotations
@@ -12,16 +13,20 @@ import re
 from dataclasses import dataclass
 from uuid import uuid4
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.info import EdgeInfo
 from ..plans.types import DST, SRC, VID, AdjListType, Direction
-from ..session import Store
+from ..session import Store, checksum
 from .index import IndexGenerator, dense_ids
 from .traverse import CapacityError, Projection, Reached, directed, neighborhood
 
 APPEND_TAIL, PATCH = "APPEND_TAIL", "PATCH"
+#: A batch's record, which Spark's readers skip, and its columns.
+RECORD, BATCH = "_checksum.json", f"seq long, {SRC} long, {DST} long"
 
 
 def ordering_of(info: EdgeInfo, layout: AdjListType | str) -> tuple[str, str]:
@@ -90,7 +95,9 @@ class MutableDelta:
     def __init__(self, spark: SparkSession, path: str, base: Projection, capacity: int = 8_000_000, vertices: int | None = None):
         self.spark, self.path, self.base, self.capacity = spark, path.rstrip("/"), base, capacity
         self.store = Store(spark)
-        head = f"{self.path}/header.json"
+        head, spare = f"{self.path}/header.json", f"{self.path}/.header.tmp"
+        if not self.store.exists(head) and self.store.exists(spare) and self._complete(spare):
+            self.store.rename(spare, head)  # a crash came after the older header was moved aside
         if self.store.exists(head):
             h = json.loads(self.store.read_text(head))
             if (h["base_vertices"], h["direction"]) != (base.count, base.direction.value):
@@ -102,6 +109,12 @@ class MutableDelta:
         self.next = max([self.floor, *[end for _, end, _ in self.batches()]])
         self.sealed = self.next  # what a crash left committed is visible again
 
+    def _complete(self, path: str) -> bool:
+        try:
+            return "floor" in json.loads(self.store.read_text(path))
+        except ValueError:
+            return False
+
     def _save(self) -> None:
         head = {"base_vertices": self.base.count, "direction": self.base.direction.value, "floor": self.floor, "vertices": self._vertices}
         self.store.make(self.path)
@@ -110,13 +123,36 @@ class MutableDelta:
 
     @classmethod
     def recover(cls, spark: SparkSession, path: str, base: Projection, **options) -> MutableDelta:
-        """Reopen after a crash; unfinished batches are deleted."""
+        """Reopen after a crash: unfinished batches are deleted; a last batch that doesn't agree with its checksum is set aside, as `.torn-<first>-<end>-...`.
+
+        Damage in an earlier batch, or a missing one, can't be mended and is an error.
+        """
         out = cls(spark, path, base, **options)
         for p, is_dir, _ in out.store.list(path):
             if is_dir and p.rsplit("/", 1)[1].startswith(".staging-"):
                 out.store.delete(p)
+        batches = [b for b in out.batches() if b[1] > out.floor]
+        if any(b[0] != a[1] for a, b in zip(batches, batches[1:], strict=False)) or (batches and batches[0][0] > out.floor):
+            raise ValueError("a batch of the delta is missing")
+        for first, end, p in batches:
+            if out._sound(first, end, p):
+                continue
+            if end != out.next:
+                raise ValueError(f"the batch {first}-{end} of the delta is damaged")
+            out.store.rename(p, f"{out.path}/.torn-{first}-{end}-{uuid4().hex}")
+            out.next = out.sealed = max(first, out.floor)
         return out
 
+    def _sound(self, first: int, end: int, path: str) -> bool:
+        record = f"{path}/{RECORD}"
+        if not self.store.exists(record):
+            return False
+        try:
+            want = json.loads(self.store.read_text(record))
+            return want["rows"] == end - first and checksum(self.spark.read.schema(BATCH).parquet(path)) == want
+        except (ValueError, KeyError, TypeError, PySparkException, Py4JJavaError):
+            return False  # an unreadable file is damage like any other
+
     def batches(self) -> list[tuple[int, int, str]]:
         found = [(m, p) for p, is_dir, _ in self.store.list(self.path) if is_dir and (m := re.fullmatch(r"batch-(\d+)-(\d+)", p.rsplit("/", 1)[1]))]
         return sorted((int(m[1]), int(m[2]), p) for m, p in found)
@@ -151,7 +187,8 @@ class MutableDelta:
         first, end = self.next, self.next + row.n
         if row.n:
             staging = f"{self.path}/.staging-{uuid4().hex}"
-            numbered.write.parquet(staging)
+            numbered.select("seq", SRC, DST).write.parquet(staging)
+            self.store.write_text(f"{staging}/{RECORD}", json.dumps(checksum(self.spark.read.schema(BATCH).parquet(staging))))
             self.store.rename(staging, f"{self.path}/batch-{first}-{end}")
             self.next = end
         return first, end

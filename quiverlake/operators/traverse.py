@@ -3,6 +3,7 @@ most as frames, never as collected rows, and each level is checkpointed."""
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 from collections.abc import Callable, Sequence
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.types import DST, SRC, VID, Direction
-from ..session import Store, materialize
+from ..session import Store, checksum, materialize, release
 from .index import dense_ids
 
 
@@ -173,7 +174,7 @@ def neighborhood(p: Projection, start: int, max_depth: int, max_nodes: int, keep
     spark = p.edges.sparkSession
     budget = min(max_nodes, p.count)
     seen = spark.createDataFrame([(start, 0)], f"{VID} long, depth int")
-    frontier, size, truncated, depth = seen.select(VID), 1, False, 0
+    frontier, size, truncated, depth, stored = seen.select(VID), 1, False, 0, []
     while depth < max_depth and not truncated:
         depth += 1
         step = p.edges.join(frontier.withColumnRenamed(VID, SRC), SRC).groupBy(F.col(DST).alias(VID)).agg(F.min(SRC).alias("via"))
@@ -185,13 +186,17 @@ def neighborhood(p: Projection, start: int, max_depth: int, max_nodes: int, keep
             truncated = True
             if size == budget:
                 break
-            new = materialize(new.orderBy("via", VID).limit(budget - size))
+            whole, new = new, materialize(new.orderBy("via", VID).limit(budget - size))
+            release(whole)
             n = budget - size
         frontier = new.select(VID)
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
         size += n
         if depth % keep_every == 0:
             seen = materialize(seen)
+            release(*stored)
+            stored = [seen]
+        stored.append(new)
     return Reached(seen, size, truncated)
 
 
@@ -267,21 +272,27 @@ class ServedProjection:
 
 
 def write_snapshot(p: Projection, path: str) -> None:
-    """The projection as Parquet with a small header that says how many vertices and edges it has; checksums are the format's own."""
-    import json
+    """The projection as Parquet, committed by a small header with its number of vertices and the checksum of its edges.
 
-    spark = p.edges.sparkSession
-    p.edges.write.mode("overwrite").option("parquet.page.write-checksum.enabled", "true").parquet(path.rstrip("/") + "/edges")
-    n = spark.read.parquet(path.rstrip("/") + "/edges").count()
-    Store(spark).write_text(path.rstrip("/") + "/header.json", json.dumps({"vertices": p.count, "edges": n, "direction": p.direction.value}))
+    An older snapshot's header goes first, so a crash leaves a folder without a header, which isn't a snapshot.
+    """
+    spark, path = p.edges.sparkSession, path.rstrip("/")
+    store = Store(spark)
+    store.delete(f"{path}/header.json")
+    p.edges.select(SRC, DST).write.mode("overwrite").parquet(f"{path}/edges")
+    head = {"vertices": p.count, "direction": p.direction.value, "edges": checksum(spark.read.parquet(f"{path}/edges").select(SRC, DST))}
+    store.write_text(f"{path}/.header.tmp", json.dumps(head))
+    store.rename(f"{path}/.header.tmp", f"{path}/header.json")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> Projection:
-    import json
-
-    head = json.loads(Store(spark).read_text(path.rstrip("/") + "/header.json"))
-    edges = spark.read.parquet(path.rstrip("/") + "/edges")
-    if edges.count() != head["edges"]:
+    """The snapshot; one without a header, or whose edges don't agree with their checksum, is refused."""
+    path = path.rstrip("/")
+    if not Store(spark).exists(f"{path}/header.json"):
+        raise ValueError("the snapshot has no header: it was never finished")
+    head = json.loads(Store(spark).read_text(f"{path}/header.json"))
+    edges = spark.read.parquet(f"{path}/edges").select(SRC, DST)
+    if checksum(edges) != head["edges"]:
         raise ValueError("the snapshot is corrupt: its edges don't agree with its header")
     return Projection(edges, head["vertices"], Direction(head["direction"]))
 
@@ -290,15 +301,19 @@ def levels(p: Projection, roots: Sequence[int]) -> DataFrame:
     """(vid, distance) from the nearest root for every vertex, -1 where none reaches it."""
     spark = p.edges.sparkSession
     seen = spark.createDataFrame([(r, 0) for r in roots], f"{VID} long, distance int")
-    frontier, hop = seen.select(VID), 0
+    frontier, hop, stored = seen.select(VID), 0, []
     while True:
         hop += 1
         step = p.edges.join(frontier.withColumnRenamed(VID, SRC), SRC).select(F.col(DST).alias(VID)).distinct()
         frontier = materialize(step.join(seen.select(VID), VID, "left_anti"))
         if frontier.isEmpty():
+            release(frontier)
             break
         seen = seen.unionByName(frontier.withColumn("distance", F.lit(hop)))
         if hop % 4 == 0:
             seen = materialize(seen)
+            release(*stored)
+            stored = [seen]
+        stored.append(frontier)
     ids = spark.range(p.count).withColumnRenamed("id", VID)
     return ids.join(seen, VID, "left").select(VID, F.coalesce("distance", F.lit(-1)).alias("distance"))

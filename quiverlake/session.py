@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor, wait
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,6 +39,13 @@ def release(*frames: DataFrame | None) -> None:
             Store(df.sparkSession).delete(file.get())
 
 
+def checksum(df: DataFrame) -> dict[str, int]:
+    """Number and hashes of the rows, whatever their order and partitioning. Repeated rows count: they cancel out in `xor`, not in `sum`."""
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    row = df.agg(F.count("*").alias("rows"), F.bit_xor(hashed).alias("xor"), F.sum(F.pmod(hashed, F.lit(1 << 20))).alias("sum")).first()
+    return {"rows": row["rows"], "xor": row["xor"] or 0, "sum": row["sum"] or 0}
+
+
 #: Threads that work on small files side by side. They are kept, as each holds a connection to the JVM.
 POOL = ThreadPoolExecutor(8, thread_name_prefix="quiverlake-files")
 _JOBS = ThreadPoolExecutor(4, thread_name_prefix="quiverlake-jobs")

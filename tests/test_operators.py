@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from quiverlake.operators import access, algorithms, compaction, delta, traverse
 from quiverlake.operators.traverse import Direction, Projection
 from quiverlake.plans.info import AdjList, EdgeInfo, Property, PropertyGroup, VertexInfo
 from quiverlake.plans.types import LABELS
+from quiverlake.session import checksum
 from quiverlake.sinks.writers import EdgeWriter, VertexWriter
 from quiverlake.sources.importers import ImportConfig, read_edge_list, run_import
 from quiverlake.sources.readers import EdgeReader, VertexReader
@@ -263,6 +265,47 @@ def test_served_projection_and_snapshot(spark, tmp_path, web):
     spark.createDataFrame([(1, 2)], "src long, dst long").write.mode("append").parquet(path + "/edges")
     with pytest.raises(ValueError):
         traverse.read_snapshot(spark, path)
+    traverse.write_snapshot(back, f"{path}2")
+    rows = [tuple(r) for r in back.edges.collect()]
+    edges(spark, [(rows[0][0], rows[0][1] + 1), *rows[1:]]).write.mode("overwrite").parquet(f"{path}2/edges")  # as many, one of them another
+    with pytest.raises(ValueError, match="corrupt"):
+        traverse.read_snapshot(spark, f"{path}2")
+    (tmp_path / "snap2" / "header.json").unlink()
+    with pytest.raises(ValueError, match="never finished"):
+        traverse.read_snapshot(spark, f"{path}2")
+
+
+def test_checksum_of_rows(spark):
+    rows = [(1, 2), (1, 2), (3, 4), (None, 5)]
+    one = checksum(edges(spark, rows).repartition(3))
+    assert one == checksum(edges(spark, rows[::-1]).coalesce(1)) and one["rows"] == 4
+    assert one != checksum(edges(spark, [(3, 4), (3, 4), (3, 4), (None, 5)]))  # repeated rows don't cancel out
+    assert checksum(edges(spark, rows).limit(0)) == {"rows": 0, "xor": 0, "sum": 0}
+
+
+def test_delta_recovers_from_damage(spark, tmp_path):
+    base, path = Projection(edges(spark, [(0, 1)]), 10), f"file://{tmp_path}/delta"
+    d = delta.MutableDelta(spark, path, base)
+    for batch in ([(1, 2), (2, 3)], [(3, 4)], [(4, 5), (5, 6)]):
+        d.append_all(edges(spark, batch))
+    last = tmp_path / "delta" / "batch-3-5"
+    part = next(last.glob("*.parquet"))
+    part.write_bytes(part.read_bytes()[:20])  # a torn tail
+    back = delta.MutableDelta.recover(spark, path, base)
+    assert back.next == back.sealed == 3 and sorted((r.src, r.dst) for r in back.edges().collect()) == [(1, 2), (2, 3), (3, 4)]
+    assert not last.exists() and len(list((tmp_path / "delta").glob(".torn-3-5-*"))) == 1
+    assert back.append(7, 8) == 3 and delta.MutableDelta.recover(spark, path, base).next == 4
+    (tmp_path / "delta" / "header.json").rename(tmp_path / "delta" / ".header.tmp")  # a crash while the header was replaced
+    back = delta.MutableDelta.recover(spark, path, base)
+    back.rebase(Projection(edges(spark, [(0, 1), (1, 2), (2, 3)]), 10), 2)
+    (tmp_path / "delta" / "header.json").rename(tmp_path / "delta" / ".header.tmp")
+    assert delta.MutableDelta.recover(spark, path, back.base).floor == 2
+    (tmp_path / "delta" / "batch-2-3" / "_checksum.json").unlink()
+    with pytest.raises(ValueError, match="damaged"):
+        delta.MutableDelta.recover(spark, path, back.base)
+    shutil.rmtree(tmp_path / "delta" / "batch-2-3")
+    with pytest.raises(ValueError, match="missing"):
+        delta.MutableDelta.recover(spark, path, back.base)
 
 
 INFO = EdgeInfo("p", "k", "p", 13, 10, 10, True, (AdjList("ordered_by_source"), AdjList("unordered_by_dest")), (PropertyGroup((Property("w", "double"),)),))
@@ -403,6 +446,25 @@ def test_import(spark, tmp_path):
     assert "primary key" in found and "delimiter" in found and "one name" in found and "doesn't give" in found
 
 
+def test_connectors(spark, tmp_path):
+    from quiverlake.sinks.export import export_edges, export_vertices
+    from quiverlake.sources.importers import Source, read_source
+
+    v = spark.createDataFrame([(0, "a"), (1, "b")], "vid long, key string")
+    export_vertices(v, "json", {"path": f"file://{tmp_path}/v"}, tasks=1)
+    export_edges(edges(spark, [(0, 1), (1, 1)]), v, v, "json", path=f"file://{tmp_path}/e")
+    source = Source("", {"src_key": "src", "dst_key": "dst"}, format="json", options={"path": f"file://{tmp_path}/e"})
+    assert source.issues() == [] and sorted(tuple(r) for r in read_source(spark, source).collect()) == [("a", "b"), ("b", "b")]
+    assert [c for c in read_source(spark, Source(f"file://{tmp_path}/v", {"key": "id"}, format="json")).columns] == ["id"]
+    (tmp_path / "k.csv").write_text("a,b,day\n1,7,2020-01-02\n")
+    text = CONFIG.format(path=f"file://{tmp_path}")
+    config = ImportConfig.parse(text)
+    config.vertices[0]["sources"] = [{"format": "range", "options": {"start": 1, "end": 8}, "columns": {"id": "id"}}]
+    assert [s.name for s in config._sources(config.vertices[0])] == ["range"]
+    with pytest.raises(ValueError, match="json lacks"):
+        read_source(spark, Source("", {"nothing": "x"}, format="json", options={"path": f"file://{tmp_path}/e"}))
+
+
 def test_edge_list(spark, tmp_path):
     (tmp_path / "snap.txt").write_text("# comment\n1 2\n  # more\n\n3\t4\n")
     assert [tuple(r) for r in read_edge_list(spark, f"file://{tmp_path}/snap.txt").orderBy("src").collect()] == [(1, 2), (3, 4)]
