@@ -313,6 +313,51 @@ def test_chunks_of_a_union_are_one_file_each(spark, tmp_path):
             spark.conf.set(k, v)
 
 
+def test_many_small_chunks_cost_the_driver_nothing(spark, tmp_path, monkeypatch):
+    """Tasks write and rename them, replaced ones too; readers give a task many of them."""
+    groups = (PropertyGroup((Property("w", "double"),)), PropertyGroup((Property("t", "string"), Property("d", "date"))))
+    info = EdgeInfo("p", "k", "p", 5, 40, 40, True, (AdjList("ordered_by_source"),), groups)
+    prefix, words = f"file://{tmp_path}/a b/", F.when(F.col("id") % 3 > 0, F.concat(F.lit("t"), F.col("id")))
+    e = spark.range(4000).select((F.col("id") % 97).alias("src"), (F.col("id") * 7 % 101).alias("dst"), (F.col("id") / 2).alias("w"), words.alias("t"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("d"))
+    for df in (e.where("w < 900"), e):  # the older chunks are Spark's own, with checksums beside them
+        with monkeypatch.context() as m:
+            if df is e:
+                m.setattr(Store, "rename", lambda *x: pytest.fail("a rename on the driver"))
+            else:
+                m.setattr("quiverlake.sinks.chunks.MANY", 10**9)
+            EdgeWriter(prefix, info, "ordered_by_source", 100, df)._write_topology()
+            for g in groups:
+                EdgeWriter(prefix, info, "ordered_by_source", 100, df)._write_group(g)
+    w = EdgeWriter(prefix, info, "ordered_by_source", 100, e)
+    w.write_edge_counts()
+    adj = paths.adj_folder("", info, AdjListType.ORDERED_BY_SOURCE)
+    files = [p for p in (tmp_path / "a b" / adj).rglob("*") if p.is_file()]
+    assert {p.name[:5] for p in files} == {"chunk"} and len(files) == sum(-(-n // 5) for n in w.counts) and not list(tmp_path.rglob(".staging*"))
+    er = EdgeReader(prefix, info, "ordered_by_source", spark)
+    want = sorted(e.collect(), key=lambda r: (r.src, r.dst, r.w))
+    df = er.read_edges()
+    assert df.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert [tuple(r)[:2] + (r.w, r.t, r.d) for r in sorted(df.collect(), key=lambda r: r.eid)] == [tuple(r) for r in want]
+    one = er.read_edge_property_chunk(groups[1], 1, 3).collect()  # by Spark's source
+    part = [r for r in want if r.src // 40 == 1]
+    assert [(r.t, r.d) for r in one] == [(r.t, r.d) for r in part[15:20]]
+    with pytest.raises(FileExistsError):
+        EdgeWriter(prefix, info, "ordered_by_source", 100, e, mode=WriteMode.CREATE_NEW).write_edges()
+
+
+def test_renames_of_small_chunks_can_be_repeated(tmp_path):
+    """A rename that was done already may be repeated; the replaced file's checksum goes."""
+    from quiverlake.sinks.chunks import _move
+
+    for name, text in (("old", "a"), ("chunk0", "b"), (".chunk0.crc", "c")):
+        (tmp_path / name).write_text(text)
+    for _ in range(2):
+        _move(f"{tmp_path}/old", f"{tmp_path}/chunk0", set())
+    assert [(p.name, p.read_text()) for p in tmp_path.iterdir()] == [("chunk0", "a")]
+    with pytest.raises(FileNotFoundError):
+        _move(f"{tmp_path}/old", f"{tmp_path}/chunk1", set())
+
+
 def test_groups_are_read_without_a_shuffle(spark, shared):
     g, _, e = shared
     er = EdgeReader(g.prefix, g.edges[0], "ordered_by_source", spark)
