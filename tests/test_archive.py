@@ -374,6 +374,17 @@ def test_groups_are_read_without_a_shuffle(spark, shared):
     assert [r.dst for r in er.neighbors(9).collect()] == sorted(b for a, b, *_ in want if a == 9)
 
 
+def test_stored_edges_are_not_taken_for_small(spark, shared):
+    """The planner must not broadcast an archive's rows through the driver because they are made from a few chunk numbers."""
+    g, *_ = shared
+    e = EdgeReader(g.prefix, g.edges[0], "ordered_by_dest", spark).read_edges(False)
+    v = VertexReader(g.prefix, g.vertices[0], spark).read_all_vertex_property_groups(["id", "name"])
+    for df in (e, v):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 1 << 40
+    both = e.join(v.withColumnRenamed("vid", "dst"), "dst")
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString() and both.count() == 200
+
+
 def test_control_files(spark, tmp_path):
     p = f"file://{tmp_path}/n"
     write_value(spark, p, 77)
